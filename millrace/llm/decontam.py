@@ -45,7 +45,8 @@ def automaton(items: list[tuple[int, str | None]], size: int):
 
 def scan_text(text: str, found) -> tuple[int, list[dict]]:
     """Number of words, and a row per occurrence of a window and item: its first and last word and its span in the text."""
-    words = WORD.findall(text.translate(LOWERED))
+    lowered = text.translate(LOWERED)  # places stay the same
+    words = WORD.findall(lowered)
     if found is None or not words:
         return len(words), []
     line = f" {' '.join(words)} "
@@ -55,7 +56,7 @@ def scan_text(text: str, found) -> tuple[int, list[dict]]:
         seen += line.count(" ", upto, at)
         upto = at
         if spans is None:
-            spans = [m.span() for m in WORD.finditer(text)]
+            spans = [m.span() for m in WORD.finditer(lowered)]
         last = seen - 1
         first = last - size + 1
         hits += [{"first": first, "last": last, "start": spans[first][0], "end": spans[last][1], "item_id": i} for i in ids]
