@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, lines, neardup, packing, quality, records
+from millrace.llm import decontam, lines, neardup, packing, quality, records, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digest(table(spark, sf_dir, "documents"))
 
@@ -42,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op5_line_dedup": lines.ORACLE, "op9_decontamination": decontam.ORACLE}
+    return {"op3_quality_rules": quality.oracle(), "op5_line_dedup": lines.ORACLE, "op6_substring_dedup": spans.ORACLE, "op9_decontamination": decontam.ORACLE}
