@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, lines, neardup, packing, quality, records, spans
+from millrace.llm import decontam, lines, neardup, packing, quality, records, spans, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op5_line_dedup": lines.ORACLE, "op6_substring_dedup": spans.ORACLE, "op9_decontamination": decontam.ORACLE}
+    return {"op3_quality_rules": quality.oracle(), "op4_warc": warc.ORACLE, "op5_line_dedup": lines.ORACLE, "op6_substring_dedup": spans.ORACLE, "op9_decontamination": decontam.ORACLE}
