@@ -1,8 +1,8 @@
 """Token-ID output: length-delimited binary records with masked checksums, and an offset index for shuffled reads.
 
 A record is its payload's length (unsigned 64-bit), the masked CRC-32C of those 8 bytes, the payload, and the masked CRC-32C
-of the payload; all little-endian. A payload is the doc_id (signed 64-bit; the least value where it is null) and the ids
-(unsigned 32-bit). The index of a file has a row of four signed 64-bit numbers for each record: doc_id, offset of the record
+of the payload; all little-endian. A payload is the doc_id (signed 64-bit; the least value where it is null), the width of
+an id in bytes (unsigned 32-bit) and the ids (unsigned 16-bit where all of the record's ids fit, else 32-bit). The index of a file has a row of four signed 64-bit numbers for each record: doc_id, offset of the record
 in the file, its length with the frame, its ids.
 """
 
@@ -37,7 +37,10 @@ def filesystem(uri: str):
 
 def frame(doc_ids: list[int | None], ids: list[np.ndarray]) -> tuple[bytes, np.ndarray]:
     """Records end to end, and the length of each."""
-    payloads = [np.int64(NO_ID if d is None else d).tobytes() + x.astype("<u4").tobytes() for d, x in zip(doc_ids, ids, strict=True)]
+    payloads = []
+    for d, x in zip(doc_ids, ids, strict=True):
+        width = 2 if not len(x) or x.max() < 1 << 16 else 4
+        payloads.append(np.int64(NO_ID if d is None else d).tobytes() + np.uint32(width).tobytes() + x.astype(f"<u{width}").tobytes())
     sizes = np.array([len(p) for p in payloads], np.int64)
     heads = sizes.astype("<u8")
     head_crc = masked(checksums(heads.view(np.uint8), np.arange(len(sizes) + 1) * 8)).astype("<u4")
@@ -66,7 +69,8 @@ def unframe(data: bytes) -> tuple[list[int], list[np.ndarray], int]:
     if not (np.array_equal(head_crc, told([a + 8 for a, _ in spans])) and np.array_equal(body_crc, told([a + 12 + n for a, n in spans]))):
         raise ValueError("a record's checksum does not match its bytes")
     doc_ids = [int.from_bytes(data[a + 12 : a + 20], "little", signed=True) for a, _ in spans]
-    return doc_ids, [np.frombuffer(data, "<u4", (n - 8) // 4, a + 20) for a, n in spans], at
+    widths = [data[a + 20] for a, _ in spans]
+    return doc_ids, [np.frombuffer(data, f"<u{w}", (n - 12) // w, a + 24).astype("<u4") for w, (a, n) in zip(widths, spans, strict=True)], at
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -115,30 +116,29 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Pieces of a blank and letters are encoded as one text, which splits before each blank; others one by one."""
-        joined = [p[0] == " " and p[1:].isalpha() for p in pieces]
+        joined = np.array([p[0] == " " and p[1:].isalpha() for p in pieces], bool)
+        hashes = np.concatenate([hashes[joined], hashes[~joined]])
         got = self.model.encode("".join(p for p, j in zip(pieces, joined, strict=True) if j), add_special_tokens=False)
-        words = np.array(got.word_ids, np.int64)
-        ids, cuts = np.array(got.ids, np.uint32), np.searchsorted(words, np.arange(sum(joined) + 1))
-        apart = iter(self.model.encode_batch_fast([p for p, j in zip(pieces, joined, strict=True) if not j], add_special_tokens=False))
-        k = 0
-        for h, j in zip(hashes.tolist(), joined, strict=True):
-            if j:
-                own = ids[cuts[k] : cuts[k + 1]]
-                k += 1
-            else:
-                own = np.array(next(apart).ids, np.uint32)
-            first = int(self.offsets[self.count])
-            if first + len(own) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(own)), np.uint32)])
-            if self.count + 2 > len(self.offsets):
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            self.flat[first : first + len(own)] = own
-            self.offsets[self.count + 1] = first + len(own)
-            at = h & self.mask
-            while self.keys[at]:
-                at = (at + 1) & self.mask
-            self.keys[at], self.slots[at] = h, self.count
-            self.count += 1
+        apart = [e.ids for e in self.model.encode_batch_fast([p for p, j in zip(pieces, joined, strict=True) if not j], add_special_tokens=False)]
+        ids = np.fromiter(chain(got.ids, *apart), np.uint32)
+        lengths = np.concatenate([np.bincount(np.array(got.word_ids, np.int64), minlength=int(joined.sum())), np.array([len(x) for x in apart], np.int64)])
+        n, first = len(hashes), int(self.offsets[self.count])
+        while first + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + n + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        self.flat[first : first + len(ids)] = ids
+        self.offsets[self.count + 1 : self.count + n + 1] = first + np.cumsum(lengths)
+        slots = np.arange(self.count, self.count + n, dtype=np.int32)
+        self.count += n
+        at = (hashes & U64(self.mask)).astype(np.int64)
+        while len(at):  # the first of those that want a free place gets it, the others go on to the next
+            places, own = np.unique(at, return_index=True)
+            own = own[self.keys[places] == 0]
+            self.keys[at[own]], self.slots[at[own]] = hashes[own], slots[own]
+            left = np.ones(len(at), bool)
+            left[own] = False
+            at, hashes, slots = (at[left] + 1) & self.mask, hashes[left], slots[left]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id, as unsigned 32-bit numbers."""
@@ -171,9 +171,14 @@ class Encoder:
         return [np.append(ids[a:b], end) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what one task learnt serves the next."""
+    return Encoder(path)
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each batch, in slices of about CHUNK characters, with the ids of its column ``text``. A null is an empty text."""
-    encoder = Encoder(path)
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         i = 0
@@ -182,5 +187,5 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tup
             while j < len(texts) and size + len(texts[j]) <= CHUNK:
                 size += len(texts[j])
                 j += 1
-            yield batch.slice(i, j - i), encoder.encode(texts[i:j])
+            yield batch.slice(i, j - i), encoder(path).encode(texts[i:j])
             i = j
