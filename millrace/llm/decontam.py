@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -77,19 +78,36 @@ def find_windows(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     Item texts are measured first. Up to BLOCK_BYTES they are one broadcast block and one automaton; more are cut by hash
     into blocks of about that size, and the documents are scanned once for each. So a broadcast never exceeds the block.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = only(items, item_id="long", text="string")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    blocks = 1 + total // BLOCK_BYTES
+    small_batches(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string")
-    out = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
-        found = docs.mapInArrow(lambda b, shared=shared: _scan(b, shared, size), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out if blocks == 1 else out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+    found = [docs.mapInArrow(lambda b, shared=shared: _scan(b, shared, size), SCHEMA) for shared in _blocks(items)]
+    if len(found) == 1:
+        return found[0]
+    whole = reduce(DataFrame.unionByName, found)
+    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+
+
+def _blocks(items: DataFrame) -> list[Broadcast]:
+    """The items in broadcast blocks of about BLOCK_BYTES at most, after their size was measured; one block for no items."""
+    spark = items.sparkSession
+    items = only(items, item_id="long", text="string")
+    blocks = 1 + items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // BLOCK_BYTES
+    part = lambda k: items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part(k).collect()]) for k in range(blocks)]
+
+
+def _clean(batches: Iterator[pa.RecordBatch], shared: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
+    found = automaton(shared.value, size)
+    for batch in batches:
+        yield batch.filter(pa.array([not scan_text(text or "", found)[1] for text in batch.column("text").to_pylist()], pa.bool_()))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """Rows of ``docs`` without any item's window, with all their columns; one pass for each block of items, no shuffle."""
+    small_batches(docs.sparkSession)
+    for shared in _blocks(items):
+        docs = docs.mapInArrow(lambda b, shared=shared: _clean(b, shared, size), docs.schema)
+    return docs
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

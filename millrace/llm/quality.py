@@ -161,24 +161,31 @@ def robust_distances(stats: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang, source): the base statistics, base_failed, d2 and kept.
+    """One row per row of ``docs`` (doc_id, text, lang, source): text_hash, the base statistics, base_failed, d2 and kept.
 
     Null text: no words, base_failed. Null language or source: a group of its own. Groups of fewer than MIN_GROUP rows that
     passed the base rules share one estimate. Rows that failed the base rules do not enter the estimates; their d2 is null.
     Repeated rows count as often as they stand. No documents: no rows. Extra columns of the input are not returned.
     """
     base = only(docs, doc_id="long", text="string", lang="string", source="string")
-    counts = stored(base_statistics(base).drop("text"), "quality-stats")
-    passed = counts.filter(~F.col("base_failed")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", F.to_json(F.array("lang", "source")).alias("own"))
+    counts = stored(base_statistics(base).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text"), "quality-stats")
+    passed = counts.filter(~F.col("base_failed")).select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", F.to_json(F.array("lang", "source")).alias("own"))
     sizes = passed.groupBy("own").agg(F.count(F.lit(1)).alias("_size"))
     grouped = passed.join(sizes, "own").withColumn("grp", F.when(F.col("_size") >= MIN_GROUP, F.col("own")).otherwise("small"))
-    stats = stored(grouped.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "grp", *[f"{v} AS {k}" for k, v in _stat_columns()]), "quality-z")
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept"]
+    stats = stored(grouped.selectExpr("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "grp", *[f"{v} AS {k}" for k, v in _stat_columns()]), "quality-z")
+    columns = ["doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept"]
     judged = robust_distances(stats).withColumn("base_failed", F.lit(False)).withColumn("kept", F.col("d2") <= CUTOFF).select(*columns)
     failed = counts.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False)).select(*columns)
     return judged.unionByName(failed)
 
 
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose document is kept, with all their columns. Rows of one doc_id are told apart by their texts."""
+    kept = quality(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_hash"))
+    return docs.join(kept, same, "left_semi")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
