@@ -44,7 +44,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     """Best fit, longest first, over counts: runs (length, first rank, pieces, first sequence, offset).
 
     The pieces of a run stand at one offset of consecutive sequences. Sequences filled to the same height are kept as runs of
-    numbers, so the work and the plan grow with the number of lengths, not of pieces.
+    numbers, so the work and the plan grow with the number of lengths, not of pieces. Best fit fills a sequence with a length as
+    long as it has room before it turns to the next, so a run takes no more sequences than its pieces fill.
     """
     heights: dict[int, list[tuple[int, int]]] = {}  # free space -> runs (first sequence, how many)
     free: list[int] = []  # sorted
@@ -67,10 +68,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
                 if not heights[space]:
                     del heights[space]
                     free.pop(k)
-                used = min(n, left)
+                used = min(n, max(1, left // (space // length)))
                 give(space, first + used, n - used)
-            else:  # new sequences, each of which best fit fills with this length before the next
-                space, first, used = capacity, new, -(-left // (capacity // length))
+            else:
+                space, first, used = capacity, new, max(1, left // (capacity // length))
                 new += used
             runs.append((length, rank, used, first, capacity - space))
             give(space - length, first, used)
