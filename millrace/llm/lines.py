@@ -39,14 +39,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     repeated = repeated_lines(keyed, min_chars, min_docs)
     exploded = keyed.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), line_key))).alias("key")).filter(F.char_length("key") >= min_chars)
     mine = exploded.select("doc_id", F.xxhash64("key").alias("ka"), F.xxhash64(F.lit(1), "key").alias("kb"))
-    drops = mine.join(repeated, ["ka", "kb"]).filter(F.col("doc_id") < F.col("holder")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("ka").alias("_drop"))
-    joined = base.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(drops, "_id", "left")
+    drops = mine.join(repeated, ["ka", "kb"]).filter(F.col("doc_id") < F.col("holder")).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("ka").alias("__line_drop"))
+    joined = base.withColumn("__line_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(drops, "__line_doc", "left")
     lines = F.split("text", "\n", -1)
-    gone = lambda x: (F.char_length(line_key(x)) >= min_chars) & F.array_contains("_drop", F.xxhash64(line_key(x)))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
-    done = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
-    done = done.withColumn("n_dropped", F.col("n_lines") - F.size("_kept").cast("long")).withColumn("text", F.array_join("_kept", "\n"))
-    return done.drop("_kept", "_drop", "_id")
+    gone = lambda x: (F.char_length(line_key(x)) >= min_chars) & F.array_contains("__line_drop", F.xxhash64(line_key(x)))
+    kept = F.when(F.col("__line_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
+    done = joined.withColumn("__line_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
+    done = done.withColumn("n_dropped", F.col("n_lines") - F.size("__line_kept").cast("long")).withColumn("text", F.array_join("__line_kept", "\n"))
+    return done.drop("__line_kept", "__line_drop", "__line_doc")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -181,8 +181,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose document is kept, with all their columns. Rows of one doc_id are told apart by their texts."""
-    kept = quality(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_hash"))
+    kept = quality(docs).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__kept_hash"))
     return docs.join(kept, same, "left_semi")
 
 
