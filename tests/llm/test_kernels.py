@@ -1,0 +1,176 @@
+"""Kernels against the library or plain definitions; no Spark."""
+
+import random
+import zlib
+from array import array
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import decontam, html, neardup, packing, records, toxicity, warc
+from millrace.llm.crc32c import TABLES, checksums, masked
+from millrace.llm.tokens import Encoder, vocabulary_path
+from millrace.llm.wordhash import each_text, shingles
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return Encoder(vocabulary_path())
+
+
+ALPHABET = " \t\n\r\x0b\x0c\x1c\x85\xa0aZéß½²³Ⅷ٣日本'sllvetmdr_-.,!?0123×÷…–“”<|endoftext|>ſıİ"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=20) | st.text(max_size=12), min_size=1, max_size=8))
+def test_encoder_is_the_librarys(encoder, texts):
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == encoder.model.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_encoder_after_its_cache_was_cleared(encoder):
+    before = encoder.encode(["some words here"])[0]
+    encoder.clear()
+    assert np.array_equal(encoder.encode(["some words here"])[0], before)
+
+
+def test_crc32c_and_frames():
+    assert int(checksums(np.frombuffer(b"123456789", np.uint8), np.array([0, 9]))[0]) == 0xE3069283
+
+    def plain(b):
+        c = 0xFFFFFFFF
+        for x in b:
+            c = int(TABLES[0][(c ^ x) & 255]) ^ (c >> 8)
+        return c ^ 0xFFFFFFFF
+
+    parts = [random.Random(i).randbytes(4 + i * 37 % 900) for i in range(40)]
+    assert checksums(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])).tolist() == [plain(p) for p in parts]
+    assert masked(np.array([0], np.uint32))[0] == 0xA282EAD8
+    ids = [np.array([1, 70000, 3], np.uint32), np.zeros(0, np.uint32), np.array([5], np.uint32)]
+    data, _ = records.frame([4, None, -7], ids)
+    doc_ids, back, used = records.unframe(data)
+    assert used == len(data) and doc_ids == [4, records.NO_ID, -7] and all(np.array_equal(a, b) for a, b in zip(ids, back, strict=True))
+    broken = bytearray(data)
+    broken[30] ^= 1
+    with pytest.raises(ValueError):
+        records.unframe(bytes(broken))
+
+
+def test_word_hashes():
+    texts = ["One two", None, "", "two  ONE", "naïve 日本", "x" * 10]
+    got = {i: h.tolist() for i, h, _, _ in each_text(pa.array(texts))}
+    assert got[0] == got[3][::-1] and got[1] == got[2] == [] and len(got[4]) == 2 and len(got) == 6
+    assert len(shingles(np.arange(3, dtype=np.uint64), 5)) == 1 and len(shingles(np.arange(7, dtype=np.uint64), 5)) == 3
+
+
+def test_prob_minhash_estimates_probability_jaccard():
+    rng = np.random.default_rng(5)
+    a = np.sort(rng.integers(1, 1 << 62, 300).astype(np.uint64))
+    x, y = rng.integers(1, 5, 300), rng.integers(1, 5, 300)
+    y[:60] = 0
+    exact = sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in range(300)) for i in range(300) if y[i])
+    keep = y > 0
+    owner = np.repeat([0, 1], [300, keep.sum()])
+    s = neardup.prob_minhash(np.concatenate([a, a[keep]]), np.concatenate([x, y[keep]]), owner, 2, 4000)
+    assert abs((s[0] == s[1]).mean() - exact) < 0.03
+    alone = neardup.prob_minhash(a, x, np.zeros(300, np.int64), 1, 4000)
+    assert np.array_equal(alone[0], s[0])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
+def test_plan_is_best_fit_over_pieces(counts):
+    capacity = 40
+    runs = packing.plan(counts, capacity)
+    held, taken = {}, {}
+    for length, first, n, sequence, offset in runs:
+        for k in range(n):
+            held.setdefault(sequence + k, []).append((offset, length))
+            taken.setdefault(length, []).append(first + k)
+    assert {k: sorted(v) for k, v in taken.items()} == {k: list(range(n)) for k, n in counts.items()}
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    free: list[int] = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [i for i, f in enumerate(free) if f >= length]
+            if fits:
+                i = min(fits, key=lambda i: free[i])
+                free[i] -= length
+            else:
+                free.append(capacity - length)
+    assert len(held) == len(free)
+
+
+def test_piece_bounds():
+    assert packing.piece_bounds(5, 10) == [0, 5] and packing.piece_bounds(10, 10) == [0, 10] and packing.piece_bounds(25, 10) == [0, 5, 15, 25]
+
+
+def test_windows_of_items_in_texts():
+    found = decontam.automaton([(1, "a b c d e f g h i j k"), (2, "Short, item"), (3, ""), (4, None), (5, "short item")], 10)
+    n, hits = decontam.scan_text("Zz A B c-d e f g h I j k SHORT  item", found)
+    assert n == 14 and {(h["first"], h["last"], h["item_id"]) for h in hits} == {(1, 10, 1), (2, 11, 1), (12, 13, 2), (12, 13, 5)}
+    assert decontam.scan_text("", found) == (0, []) and decontam.scan_text("a", None) == (1, [])
+
+
+def test_warc_records_round_trip():
+    record = warc.page_record(7, "http://x/\r\nEvil: 1", "é\r\n\r\nbody".encode(), None)
+    row = warc.parse_record(zlib.decompress(record, 31))
+    assert row["page_id"] == 7 and row["payload"] == "é\r\n\r\nbody".encode() and row["record_type"] == "response" and "\r" not in row["url"]
+    again = warc.parse_record(zlib.decompress(warc.page_record(3, None, b"x" * 2000, 7), 31))
+    assert again["refers_to"] == 7 and again["payload_bytes"] == 2000 and again["payload"] is None and again["record_type"] == "revisit"
+    assert warc.page_record(7, "u", b"x", None) == warc.page_record(7, "u", b"x", None)
+
+
+def test_marginals_are_those_of_enumeration():
+    nodes, _ = html.parse("<div><p>One here.</p><ul><li>two</li></ul></div><p>three</p>")
+    rng = np.random.default_rng(1)
+    weights, ties = rng.normal(size=html.N_FEATURES), rng.normal(size=(html.N_GROUPS, 4))
+    n, total, on = len(nodes), 0.0, np.zeros(len(nodes))
+    for code in range(1 << n):
+        y = [code >> i & 1 for i in range(n)]
+        score = sum(y[i] * weights[nodes[i].features].sum() for i in range(n)) + sum(ties[html.GROUP[nodes[i].kind]][2 * y[nodes[i].parent] + y[i]] for i in range(1, n))
+        total += np.exp(score)
+        on += np.exp(score) * np.array(y)
+    assert np.allclose(html.marginals(nodes, weights, ties)[0], on / total)
+
+
+def test_extraction_of_pages():
+    model = html.trained()
+    wrong = sum(set(html.extract(page, model)) != wanted for page, wanted in html.labelled_pages())
+    assert wrong <= 2
+    page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">a</a></li></ul></nav><div class="ad">Buy.</div><article><h1>Head &amp; more</h1><p><b>First\n  line<br>next<p>Second &lt;p&gt;</article><footer>&copy; x</footer>'
+    assert html.extract(page, model) == ["Head & more", "First line next", "Second <p>"]
+    assert html.extract(None, model) == html.extract("", model) == html.extract("<script>", model) == html.extract("<<<", model)[:0] == []
+
+
+def test_label_model_prefers_the_better_voters():
+    rng = np.random.default_rng(2)
+    y = rng.random(3000) < 0.2
+    votes = np.zeros((3000, 5), np.int8)
+    for j, right in enumerate((0.95, 0.9, 0.9, 0.5)):
+        votes[:, j] = np.where(rng.random(3000) < right, y, rng.random(3000) < 0.2) * toxicity.TOXIC
+    votes[:, 4] = votes[:, 3]  # a copy: the tree ties it to its original
+    noisy = np.where(rng.random(3000) < 0.9, y, ~y).astype(int)
+    _, q = toxicity.fit_label_model(votes, noisy)
+    assert ((q > 0.5) == y).mean() > 0.96
+
+
+def test_voters_of_a_text():
+    voting = toxicity.Voting(toxicity.Voters(("grunt*", "oaf"), (2, 1)))
+    names = voting.voters.names
+    on = lambda text: {names[k] for k, v in enumerate(voting(text)[0]) if v == toxicity.TOXIC}
+    assert "term oaf 1" in on("You OAF!") and "aimed" in on("You OAF!") and "masked" in on("what an id1ot") and "spelled" in on("o.a.f")
+    assert "term grunt* 2" in on("grunting grunter") and "term grunt* 2" not in on("grunting")
+    assert on("") == on("a fine day") == set()
+
+
+def test_ids_crc32():
+    assert records.crc32(np.array([1, 2, 0], np.uint32)) == zlib.crc32(array("I", [1, 2, 0]).tobytes())

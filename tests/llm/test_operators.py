@@ -1,0 +1,264 @@
+"""Operators and stages as Spark jobs: against brute force or SQL on small tables, and over odd ones."""
+
+import collections
+import hashlib
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm import components, decontam, html, lines, neardup, packing, quality, queries, records, spans, tokens, toxicity, warc
+from millrace.llm.wordhash import each_text
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, duck, name):
+    df = queries.queries()[name](spark, DATA)
+    got = duck.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in got.description]
+    order = sorted(names)
+    assert order == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*order).collect()))) == sorted(repr(tuple(r[names.index(c)] for c in order)) for r in got.fetchall())
+
+
+def plain_clusters(docs, threshold=0.8):
+    """Brute force: all pairs of shingle sets."""
+    sets = {}
+    for (d, _), (_, h, _, _) in zip(docs, each_text(pa.array([t for _, t in docs])), strict=True):
+        sets[d] = frozenset(neardup.weighted_shingles(h)[0].tolist())
+    label = {d: d for d in sets}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and len(x & y) >= threshold * len(x | y) - 1e-9:
+                p, q = top(a), top(b)
+                label[max(p, q)] = min(p, q)
+    return {d: top(d) for d in sets}
+
+
+def copies(n_groups=6, n_copies=25):
+    """Groups of copies with a word changed here and there, some beyond the threshold, some chains of copies of copies."""
+    rng = np.random.default_rng(9)
+    out, k = [], 0
+    for g in range(n_groups):
+        base = [f"g{g}w{i}" for i in range(80)]
+        chain = list(base)
+        for c in range(n_copies):
+            words = list(chain if c % 5 == 4 else base)
+            for at in rng.integers(0, 80, rng.integers(0, 4)):
+                words[at] = f"new{k}x{at}"
+            if c % 7 == 3:
+                words = words[: 80 - int(rng.integers(0, 16))]
+            if c % 5 == 4:
+                chain = words
+            out.append((k, " ".join(words)))
+            k += 1
+    return out
+
+
+def test_near_duplicates_are_brute_forces(spark):
+    docs = copies() + [(1000 + i, f"text number {i} stands quite alone {i * 7} here") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["cluster"] for r in neardup.near_duplicates(df).collect()}
+    assert got == plain_clusters(docs)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 150)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100), 150: 150, 200: 150}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_over_odd_rows(spark, odd_docs, no_docs):
+    rows = neardup.near_duplicates(odd_docs).collect()
+    assert len(rows) == odd_docs.count() and neardup.near_duplicates(no_docs).count() == 0
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r["doc_id"]].add(r["cluster"])
+    assert by[1] == by[2] == by[7] == {1} and by[4] == {4} and by[5] == {5} and by[None] == {None}
+    kept = neardup.drop_near_duplicates(odd_docs)
+    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, None, 6, 8, 9, 10}
+
+
+def test_lines_over_odd_rows(spark, odd_docs, no_docs):
+    out = {(r["doc_id"], r["text"]): r for r in lines.dedup_lines(odd_docs).collect()}
+    by = {k[0]: r for k, r in out.items()}
+    assert by[3]["n_dropped"] == 0 and by[1]["n_dropped"] == by[2]["n_dropped"] == 2 and by[5]["n_lines"] == 1 and by[5]["text"] == ""
+    assert by[2]["text"] == "end" and by[2]["cluster"] == by[2]["_id"] == "kept" and by[10]["text"] == "\n \n\t\n"
+    assert lines.dedup_lines(no_docs).count() == 0
+
+
+def plain_spans(docs, run=3, least=40):
+    import re
+
+    sentences = {d: re.findall(spans.SENTENCE, t or "") for d, t in docs}
+    key = lambda s: re.sub(r"[ \t\r\n]+", " ", s).strip(" ").lower()
+    first, gone = {}, collections.defaultdict(set)
+    for d in sorted(sentences):
+        s = sentences[d]
+        for i in range(len(s) - run + 1):
+            if sum(map(len, s[i : i + run])) >= least and first.setdefault(tuple(map(key, s[i : i + run])), (d, i)) != (d, i):
+                gone[d].update(range(i, i + run))
+    return {d: "".join(x for i, x in enumerate(s) if i not in gone[d]) for d, s in sentences.items()}
+
+
+def test_spans_are_brute_forces(spark, odd_docs, no_docs):
+    passage = "It began with rain. The river rose for days. Nobody slept in the low houses. Then it stopped."
+    docs = [(i, f"Doc {i} opens so. {passage} And doc {i} ends.") for i in range(1, 30)] + [(40, f"{passage} {passage}"), (41, "One. Two."), (42, None), (43, "")]
+    out = {r["doc_id"]: r["text"] for r in spans.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == plain_spans(docs)
+    odd = spans.dedup_spans(odd_docs)
+    assert odd.count() == odd_docs.count() and set(odd_docs.columns) <= set(odd.columns) and spans.dedup_spans(no_docs).count() == 0
+
+
+def test_quality_over_odd_rows(spark, odd_docs, no_docs):
+    out = quality.quality(odd_docs).collect()
+    by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
+    assert len(out) == odd_docs.count() and quality.quality(no_docs).count() == 0
+    assert by[4]["n_words"] == 0 and not by[4]["kept"] and by[6]["base_failed"] and by[3]["n_repeat_words"] == 120
+    kept = quality.drop_rejected(odd_docs)
+    assert kept.columns == odd_docs.columns and {4, 5, 6, 10}.isdisjoint({r["doc_id"] for r in kept.collect()})
+
+
+def test_robust_distances_reject_outliers_alone(spark):
+    rng = np.random.default_rng(4)
+    good = [(i, " ".join(f"word{rng.integers(500)}" for _ in range(rng.integers(60, 400))), "en", "s") for i in range(120)]
+    bad = [(1000 + i, " ".join(f"w{rng.integers(500)}###$$$" for _ in range(100)), "en", "s") for i in range(12)]
+    out = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i] for i in range(120)) and not any(out[1000 + i] for i in range(12))
+
+
+def test_decontamination_over_odd_rows_and_blocks(spark, odd_docs, no_docs, monkeypatch):
+    items = spark.createDataFrame([(1, "word1 of a plain text that goes on word2 of a plain"), (2, "short"), (None, "x y z"), (4, None)], "item_id long, text string")
+    whole = sorted(map(repr, decontam.decontaminate(odd_docs.dropDuplicates(["doc_id"]).filter("doc_id is not null"), items).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 20)
+    assert sorted(map(repr, decontam.decontaminate(odd_docs.dropDuplicates(["doc_id"]).filter("doc_id is not null"), items).collect())) == whole
+    clean = decontam.drop_contaminated(odd_docs, items)
+    assert clean.columns == odd_docs.columns and {r["doc_id"] for r in clean.collect()} == {4, 5, None, 8, 9, 10}
+    assert decontam.decontaminate(no_docs, items).count() == 0 and decontam.decontaminate(odd_docs, items.limit(0)).filter("contaminated").count() == 0
+
+
+def test_records_round_trip(spark, odd_docs, no_docs):
+    manifest, folder = records.write_records(odd_docs)
+    back = records.read_records(manifest, folder).collect()
+    encoder = tokens.encoder(tokens.vocabulary_path())
+    expected = collections.Counter((r["doc_id"], encoder.encode([r["text"] or ""])[0].tobytes()) for r in odd_docs.collect())
+    assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in back) == expected
+    ordered = sorted(back, key=lambda r: r["start"])
+    assert [r["doc_id"] or 0 for r in ordered] == sorted(r["doc_id"] or 0 for r in back)
+    assert [r["start"] for r in ordered] == np.concatenate([[0], np.cumsum([len(r["ids"]) // 4 for r in ordered])])[:-1].tolist()
+    row = manifest.orderBy("part").first()
+    picked = records.read_at(folder, row["file"], row["index"], [row["n_records"] - 1, 0])
+    assert len(picked) == 2 and picked[1][1][-1] == 0
+    empty, where = records.write_records(no_docs)
+    assert records.read_records(empty, where).count() == 0
+
+
+def test_packing_over_odd_rows(spark, odd_docs, no_docs):
+    packed = packing.pack(odd_docs)
+    rows = packed.collect()
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert len(rows) >= odd_docs.count() and sum(r["length"] for r in rows) == sum(len(r["ids"]) // 4 for r in rows)
+    joined = packing.sequences(packed).collect()
+    assert sum(len(r["ids"]) for r in joined) == sum(len(r["ids"]) for r in rows)
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_archives_over_odd_rows(spark):
+    body = "<p>" + "é" * 600 + "</p>"
+    rows = [(1, "http://a", body, "x"), (2, None, body, "x"), (2, None, body, "x"), (3, "u", "<p>short</p>", "x"), (4, "u", "<p>short</p>", "x"), (5, "u", None, "x"), (None, "u", body, None), (9, "u\r\nX: y", "z" * 3000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, shard string")
+    manifest, folder = warc.write_archives(pages, shard_bytes=2000, roll_bytes=300)
+    back = warc.read_archives(manifest, folder).collect()
+    got = collections.Counter((r["page_id"], r["payload_digest"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in back)
+    sha = lambda s: hashlib.sha1((s or "").encode()).hexdigest()
+    assert got == collections.Counter((p, sha(h), len((h or "").encode()), "revisit" if p == 1 else "response", 2 if p == 1 else None) for p, _, h, _ in rows)
+    assert manifest.count() > 2 and all(r["payload"] is None for r in back if r["record_type"] == "revisit")
+    again, _ = warc.write_archives(pages.repartition(3), shard_bytes=2000, roll_bytes=300)
+    assert sorted(r["sha256"] for r in again.collect()) == sorted(r["sha256"] for r in manifest.collect())
+    assert warc.digest(pages.limit(0)).count() == 0
+
+
+def test_pages_over_odd_rows(spark):
+    pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<article><p>Text &eacute; here.</p></article>", "x"), (2, "u", "<article><p>Text &eacute; here.</p></article>", "x")], "page_id long, url string, html string, text string")
+    out = html.extract_text(pages).collect()
+    assert sorted((r["text"], r["n_chars"]) for r in out) == [("", 0), ("", 0), ("Text é here.", 12), ("Text é here.", 12)]
+    assert html.extract_text(pages.limit(0)).count() == 0
+
+
+def test_toxicity_held_out(spark, odd_docs, no_docs):
+    rng = np.random.default_rng(6)
+    rows, marks = [], []
+    for i in range(900):
+        bad = i % 6 == 0
+        words = [f"word{rng.integers(400)}" for _ in range(60)]
+        if bad:
+            for k in range(3):
+                words[int(rng.integers(60))] = ("oafish", "knave", f"grunz{rng.integers(90)}")[k]
+        rows.append((i, " ".join(words), "x"))
+        marks.append((i, int(bad), "x"))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(marks, "doc_id long, toxic int, text string")
+    out = toxicity.digest(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    held = [r for r in out if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.97
+    odd = toxicity.digest(odd_docs, labels.limit(0)).collect()
+    assert len(odd) == odd_docs.count() and not any(r["predicted"] for r in odd) and toxicity.digest(no_docs, labels).count() == 0
+
+
+def test_scores_do_not_hang_on_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert sorted(map(repr, toxicity.digest(docs, labels).collect())) == sorted(map(repr, toxicity.digest(docs, turned).collect()))
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, duck):
+    out = corpus_pipeline.run(spark, DATA).collect()
+    kept = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({quality.oracle()}) WHERE kept").fetchall()}
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r["doc_id"] in kept)
+    holders = collections.defaultdict(set)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(decontam.LOWERED)
+    for d, t in docs:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 20:
+                holders[key(x)].add(d)
+    docs = [(d, "\n".join(x for x in (t or "").split("\n") if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == d)) for d, t in docs]
+    clusters = plain_clusters(docs)
+    found = decontam.automaton([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()], 10)
+    docs = [(d, t) for d, t in docs if clusters[d] == d and not decontam.scan_text(t, found)[1]]
+    encoder = tokens.encoder(tokens.vocabulary_path())
+    lengths = {d: len(encoder.encode([t])[0]) for d, t in docs}
+    got = collections.Counter()
+    for r in out:
+        got[r["doc_id"]] += r["length"]
+    assert got == lengths
