@@ -54,7 +54,7 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def json_items(spark: SparkSession, path: str, item: str) -> DataFrame:
     """Items of JSON files: a list, or an object that wraps one as items, data or entries, or a single object; malformed files have none."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).filter(F.try_parse_json("value").isNotNull())
     wrapped = F.from_json("value", f"items array<{item}>, data array<{item}>, entries array<{item}>")
     single = F.from_json("value", item)
     listed = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{item}>"))
