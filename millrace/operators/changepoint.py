@@ -83,6 +83,11 @@ def change_points(windows: DataFrame, key: str, idx: str, t: str, features: list
         size = max(2, min_size)
         ends = with_breaks(x, breaks, size) if breaks else penalised(x, penalty, size)
         inner = [e for e in ends if 0 < e <= len(x) - 1]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(inner), "boundary_idx": inner, "boundary_t": pdf[t].to_numpy()[[e - 1 for e in inner]].astype(float)})
+        out = pdf.iloc[[e - 1 for e in inner]]
+        return pd.DataFrame({key: out[key], "boundary_idx": np.array(inner, np.int64), "boundary_t": out[t].astype(float)})
 
-    return windows.select(key, idx, t, *features).groupBy(key).applyInPandas(find, f"{key} {kind}, boundary_idx long, boundary_t double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = find(pdf)
+        return found if len(found) else found.astype({key: object})
+
+    return windows.select(key, idx, t, *features).groupBy(key).applyInPandas(run, f"{key} {kind}, boundary_idx long, boundary_t double")

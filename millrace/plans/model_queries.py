@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
 from millrace.operators import changepoint, extract, learning, metrics, windows
+from millrace.operators import jobs as job
 from millrace.plans.series_queries import ORDER, events, r6, table
 from millrace.streaming import jobs
 
@@ -142,3 +143,15 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_merge_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = event_stream(spark, sf_dir).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return _drained(jobs.merge_close_stream(stream, "user_id", "t", 86400.0), "append")
+
+
+@query
+def splice_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = job.splice_points(events(spark, sf_dir), "user_id", "t", ["value"], win_sec=200_000.0, hop_sec=40_000.0, penalty=1.0, min_size=3, gap_sec=86_400.0)
+    return out.select("user_id", "n_windows", F.size("boundaries_sec").cast("long").alias("n_boundaries"))
+
+
+@query
+def align_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select("user_id", "t", F.col("value").alias("fi"))
+    return job.align(e.filter("user_id % 5 = 1"), e.filter("user_id = 2"), "user_id", step=21_600, max_lag_sec=6 * 21_600).select("user_id", "ok", "reason", "lag_sec", r6("rho_max", "rho_max"), "n_overlap")
