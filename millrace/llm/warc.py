@@ -93,10 +93,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll: int) -> Iterato
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
     schema = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("n_records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
-    files, rows = None, []
+    files, rows, told, holder = None, [], None, None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "refers_to")]
-        for shard, page_id, url, html, refers_to in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("shard", "page_id", "payload_digest", "url", "html", "refers_to")]
+        for shard, page_id, payload_digest, url, html, refers_to in zip(*columns, strict=True):
+            if refers_to is not None:  # a decision, which stands before the pages that it is about
+                told, holder = (page_id, payload_digest), refers_to
+                continue
+            refers_to = holder if told == (page_id, payload_digest) else None
             if files is None or files.shard != shard:
                 rows.append(files and files.close())
                 files = _Files(store, path, shard, roll)
@@ -115,8 +119,8 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     return told.join(holders, "payload_digest").filter("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
-def _with_shards(pages: DataFrame, told: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard`` to ``told``: consecutive ranges of page_id, cut where their bytes in ``pages`` reach ``shard_bytes``.
+def _with_shards(pages: DataFrame, rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds ``shard`` to ``rows``: consecutive ranges of page_id, cut where their bytes in ``pages`` reach ``shard_bytes``.
 
     Bytes are counted over RANGES equal ranges of page_id; those counts, and no more, go to the driver. The cut depends on the
     rows alone, not on partitions or a sample.
@@ -125,14 +129,14 @@ def _with_shards(pages: DataFrame, told: DataFrame, shard_bytes: int) -> tuple[D
     lo, hi = ends["lo"] or 0, ends["hi"] or 0
     place = F.coalesce(((F.col("page_id") - F.lit(lo)) / F.lit(max(1, -(-(hi - lo + 1) // RANGES)))).cast("int"), F.lit(0))
     counts = {r["_r"]: r["b"] for r in pages.groupBy(place.alias("_r")).agg(F.sum(F.octet_length("html") + 500).alias("b")).collect()}
-    shard, held, rows = 0, 0, []
+    shard, held, ranges = 0, 0, []
     for k in sorted(counts):
-        rows.append((k, shard))
+        ranges.append((k, shard))
         held += counts[k]
         if held >= shard_bytes:
             shard, held = shard + 1, 0
-    cuts = pages.sparkSession.createDataFrame(rows or [(0, 0)], "_r int, shard int")
-    return told.withColumn("_r", place).join(F.broadcast(cuts), "_r").drop("_r"), shard + 1
+    cuts = pages.sparkSession.createDataFrame(ranges or [(0, 0)], "_r int, shard int")
+    return rows.withColumn("_r", place).join(F.broadcast(cuts), "_r").drop("_r"), shard + 1
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> tuple[DataFrame, str]:
@@ -151,9 +155,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int
     small_batches(spark)
     folder = folder or fresh_dir(spark, "warc")
     base = only(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
-    told = base.withColumn("payload_digest", F.sha1("html")).join(revisits(base), ["page_id", "payload_digest"], "left")
-    sharded, n = _with_shards(base, told, shard_bytes)
-    ordered = sharded.repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", "url").select("shard", "page_id", "url", "html", "refers_to")
+    # Decisions travel with the pages, in one shuffle, and are sorted before the page that they are about.
+    records = base.withColumn("payload_digest", F.sha1("html")).withColumn("refers_to", F.lit(None).cast("long"))
+    both = records.unionByName(revisits(base), allowMissingColumns=True)
+    sharded, n = _with_shards(base, both, shard_bytes)
+    ordered = sharded.repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("refers_to").isNull(), "url")
+    ordered = ordered.select("shard", "page_id", "payload_digest", "url", "html", "refers_to")
     return stored(ordered.mapInArrow(lambda b: _write(b, folder, roll_bytes), MANIFEST), "warc-manifest"), folder
 
 
