@@ -84,6 +84,16 @@ def test_near_duplicates_are_brute_forces(spark):
     assert got == plain_clusters(docs)
 
 
+def test_near_duplicates_that_repeat_a_passage(spark):
+    """Texts of 300 words, and each with a passage of 12 words repeated 60 times behind: set Jaccard over 0.95."""
+    docs = []
+    for g in range(12):
+        text, passage = " ".join(f"g{g}w{i}" for i in range(304)), " ".join(f"g{g}p{i}" for i in range(12))
+        docs += [(2 * g, text), (2 * g + 1, f"{text} {' '.join([passage] * 60)}")]
+    got = {r["doc_id"]: r["cluster"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_clusters(docs) == {d: d - d % 2 for d, _ in docs}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 150)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
