@@ -95,7 +95,7 @@ class Voting:
         masked = any(m[0].lower().translate(UNMASK) in insults for m in MASKED.finditer(text) if len(m[0]) > 3)
         spelled = any(re.sub(r"[^\w]|_", "", m[0]).lower() in insults for m in SPELLED.finditer(text))
         aimed = any(w in SECOND_PERSON for k in hits for w in words[max(0, k - 4) : k + 4])
-        long = [w for w in WORD.findall(text) if len(w) > 3] if text[:200].isupper() else []
+        long = [w for w in WORD.findall(text) if len(w) > 3]
         shouting = len(long) > 20 and sum(map(str.isupper, long)) > 0.5 * len(long)
         votes[at + 4] = CLEAN * (not ((votes == TOXIC).any() or masked or spelled))
         votes[at : at + 4] = [TOXIC * masked, TOXIC * spelled, TOXIC * aimed, TOXIC * shouting]

@@ -172,5 +172,13 @@ def test_voters_of_a_text():
     assert on("") == on("a fine day") == set()
 
 
+def test_shouting_is_judged_by_the_whole_text():
+    voting = toxicity.Voting(toxicity.Voters((), ()))
+    shouting = lambda text: voting(text)[0][voting.voters.names.index("shouting")] == toxicity.TOXIC
+    loud = "THIS WHOLE TEXT SHOUTS WITHOUT END " * 20
+    assert shouting(loud) and shouting(f"Dear Anna, {loud}") and shouting(f"{loud} Yours, Anna")
+    assert not shouting(loud.lower()) and not shouting("SHORT SHOUT ALONE") and not shouting(loud[:200] + loud.lower() * 3)
+
+
 def test_ids_crc32():
     assert records.crc32(np.array([1, 2, 0], np.uint32)) == zlib.crc32(array("I", [1, 2, 0]).tobytes())
