@@ -21,6 +21,10 @@ SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
 DROPPED = frozenset("script style noscript template svg math iframe object head title select textarea button canvas audio video datalist".split())
+#: Start tags that an open head can hold; any other, and text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Start tags of inline elements that svg and math cannot hold.
+BREAKOUT = frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -51,6 +55,21 @@ GROUP = [0, 0, 0, 0, 0, 0, 0, 1, 1, 2, 2, 3, 3, 3, 2, 1, 1]
 N_GROUPS = 4
 
 
+def ended(page: str, tag: str) -> set[int]:
+    """Places of the start tags of an element that have an end tag; a button inside a button ends it."""
+    out: set[int] = set()
+    open_at: list[int] = []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", page, re.I):
+        if m[1]:
+            if open_at:
+                out.add(open_at.pop())
+        else:
+            if tag == "button":
+                open_at.clear()
+            open_at.append(m.start())
+    return out
+
+
 class Node:
     __slots__ = ("children", "features", "hints", "kind", "length", "linked", "own", "parent", "parts", "stops", "tag")
 
@@ -67,6 +86,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with the block it is in
     buffer: list[str] = []
     links = dropped = 0
+    loose: list[int] = []  # places in the stack of dropped elements without an end tag
+    ends: dict[str, set[int]] = {}
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -89,10 +110,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links -= tag == "a"
             dropped -= tag in DROPPED
         del stack[index:]
+        while loose and loose[-1] >= index:
+            loose.pop()
 
     while at < size:
         start = page.find("<", at)
         start = size if start < 0 else start
+        if stack[-1][0] == "head" and page[at:start].strip():
+            close(len(stack) - 1)
         if start > at and not dropped:
             text = html.unescape(page[at:start])
             buffer.append(text)
@@ -119,8 +144,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag not in BLOCK and stack[k][0] in BLOCK and tag not in DROPPED:
                     break  # an inline end tag does not end blocks
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag in ("html", "body"):
             continue
+        while loose and (tag in BLOCK or tag in BREAKOUT and stack[loose[-1]][0] in ("svg", "math")) and not any(t in DROPPED for t, _ in stack[loose[-1] + 1 :]):
+            close(loose[-1])
+        if tag in ("svg", "math") and match[3].endswith("/") and not re.search(r"=\s*[^\s\"'>]+/$", match[3]):
+            continue
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -156,6 +187,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links += tag == "a"
         if tag in DROPPED:
             dropped += 1
+            if tag not in RAW and tag != "head":
+                if tag not in ends:
+                    ends[tag] = ended(page, tag)
+                if start not in ends[tag]:
+                    loose.append(len(stack) - 1)
             if tag in RAW:
                 end = re.compile(rf"</{tag}", re.I).search(page, at)
                 at = end.start() if end else size

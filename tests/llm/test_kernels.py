@@ -151,6 +151,31 @@ def test_extraction_of_pages():
     assert html.extract(None, model) == html.extract("", model) == html.extract("<script>", model) == html.extract("<<<", model)[:0] == []
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        '<head><meta charset="utf-8"><title>T</title><body>',
+        "<head><title>T</title>",
+        "<head><title>T</title><body><div><svg/></div>",
+        '<body><svg class="a" />',
+        "<body><svg><path d='M0'>",
+        "<body><button>Like",
+        "<body><object data='x'>",
+        "<body><select><option>One",
+        "<body><svg><path d='M0'/><div><button>Like</button></div><svg><g/></svg>",
+    ],
+)
+def test_pages_whose_elements_stay_open(opening):
+    texts = lambda page: [t for _, t in html.parse(page)[1]]
+    assert texts(f"<html>{opening}<article><p>First words.</p><p>Last words.</p></article>") == ["First words.", "Last words."]
+
+
+def test_dropped_elements_with_an_end_tag_hold_blocks():
+    texts = lambda page: [t for _, t in html.parse(page)[1]]
+    page = "<head><template><div>No</div></template></head><body><button><div>No</div></button><object><object><p>No</p></object><p>No</p></object><svg><g><text>No</text></g></svg><p>Yes</p>"
+    assert texts(page) == ["Yes"] and texts("<head><title>T</title>Bare text") == ["Bare text"]
+
+
 def test_label_model_prefers_the_better_voters():
     rng = np.random.default_rng(2)
     y = rng.random(3000) < 0.2
