@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, UPPER, only, small_batches
+from millrace.llm.common import LOWER, UPPER, only, small_batches, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWERED = str.maketrans(UPPER, LOWER)
@@ -69,7 +69,8 @@ def _scan(batches: Iterator[pa.RecordBatch], shared: Broadcast, size: int) -> It
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64())]))
     for batch in batches:
         got = [scan_text(text or "", found) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([h for _, h in got], kind)], ["doc_id", "n_words", "hits"])
+        keys = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array([n for n, _ in got], pa.int64()), pa.array([h for _, h in got], kind)], [*keys, "n_words", "hits"])
 
 
 def find_windows(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -77,23 +78,37 @@ def find_windows(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
 
     Item texts are measured first. Up to BLOCK_BYTES they are one broadcast block and one automaton; more are cut by hash
     into blocks of about that size, and the documents are scanned once for each. So a broadcast never exceeds the block.
+    With several blocks each row has a stored number, by which its scans meet again: rows that repeat a doc_id, or have none,
+    stay apart. A block's hits are stored, and the block is released, before the next one is read.
     """
     small_batches(docs.sparkSession)
     docs = only(docs, doc_id="long", text="string")
-    found = [docs.mapInArrow(lambda b, shared=shared: _scan(b, shared, size), SCHEMA) for shared in _blocks(items)]
-    if len(found) == 1:
-        return found[0]
+    n = _n_blocks(items)
+    if n == 1:
+        shared = next(_blocks(items, n))
+        return docs.mapInArrow(lambda b: _scan(b, shared, size), SCHEMA)
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found: list[DataFrame] = []
+    for shared in _blocks(items, n):
+        scanned = docs.mapInArrow(lambda b, shared=shared: _scan(b, shared, size), f"doc_id long, _row long, {SCHEMA.split(', ', 1)[1]}")
+        found.append(stored(scanned.filter(F.size("hits") > 0) if found else scanned, "hits"))  # the first scan has every row
+        shared.destroy()
     whole = reduce(DataFrame.unionByName, found)
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+    return whole.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits")).drop("_row")
 
 
-def _blocks(items: DataFrame) -> list[Broadcast]:
-    """The items in broadcast blocks of about BLOCK_BYTES at most, after their size was measured; one block for no items."""
+def _n_blocks(items: DataFrame) -> int:
+    """How many blocks of about BLOCK_BYTES the items make; one for no items."""
+    return 1 + items.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first()["b"] // BLOCK_BYTES
+
+
+def _blocks(items: DataFrame, n: int) -> Iterator[Broadcast]:
+    """The items in ``n`` broadcast blocks by hash, one after the other: the driver holds the rows of one block at a time."""
     spark = items.sparkSession
     items = only(items, item_id="long", text="string")
-    blocks = 1 + items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"] // BLOCK_BYTES
-    part = lambda k: items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-    return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part(k).collect()]) for k in range(blocks)]
+    for k in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], shared: Broadcast, size: int) -> Iterator[pa.RecordBatch]:
@@ -105,7 +120,7 @@ def _clean(batches: Iterator[pa.RecordBatch], shared: Broadcast, size: int) -> I
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Rows of ``docs`` without any item's window, with all their columns; one pass for each block of items, no shuffle."""
     small_batches(docs.sparkSession)
-    for shared in _blocks(items):
+    for shared in _blocks(items, _n_blocks(items)):
         docs = docs.mapInArrow(lambda b, shared=shared: _clean(b, shared, size), docs.schema)
     return docs
 
@@ -132,7 +147,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     """Per row of ``docs``: doc_id, n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and are clean. An item without words has no window. Items that share a window are all
-    counted. Repeated rows are scanned as they stand; with several blocks of items the rows of a doc_id are first made one.
+    counted. Repeated rows are scanned as they stand, however many blocks the items make.
     Extra columns of either input are ignored.
     """
     return find_windows(docs, items, size).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

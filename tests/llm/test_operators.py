@@ -170,6 +170,17 @@ def test_decontamination_over_odd_rows_and_blocks(spark, odd_docs, no_docs, monk
     assert decontam.decontaminate(no_docs, items).count() == 0 and decontam.decontaminate(odd_docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_in_blocks_keeps_rows(spark, monkeypatch):
+    """Null and repeated doc_ids with different texts: one block or several, the rows are the same."""
+    texts = [f"alpha beta gamma item{k} delta end" for k in range(8)]
+    items = spark.createDataFrame([(k, f"gamma item{k}") for k in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, texts[0]), (None, "clean"), (None, None), (5, texts[1]), (5, f"{texts[2]} {texts[3]} more words"), (5, "clean too"), (6, " ".join(texts))], "doc_id long, text string")
+    rows = lambda: sorted(map(repr, decontam.decontaminate(docs, items).collect()))
+    whole = rows()
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 20)
+    assert rows() == whole and len(whole) == 7
+
+
 def test_records_round_trip(spark, odd_docs, no_docs):
     manifest, folder = records.write_records(odd_docs)
     back = records.read_records(manifest, folder).collect()
