@@ -162,6 +162,24 @@ def band_peak_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dft(spark, sf_dir).select("vec_id", (A.first_argmax(band) + 2).cast("long").alias("peak_bin"))
 
 
+FRAME_DFT = FRAMES + ", m AS (SELECT vec_id, frame, b AS bin, sqrt(pow(sum(v * cos(2 * pi() * b * k / 16)), 2) + pow(sum(v * sin(2 * pi() * b * k / 16)), 2)) AS mag FROM f, (SELECT unnest(range(9)) AS b) GROUP BY ALL)"
+
+
+def frame_dft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framed(spark, sf_dir).select("vec_id", "frame", A.dft_magnitudes(F.col("f"), 16).alias("m"))
+
+
+@query(FRAME_DFT + " SELECT vec_id, frame, bin, round(mag, 6) AS mag FROM m")
+def dft_magnitude_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_dft(spark, sf_dir).select("vec_id", "frame", F.posexplode("m").alias("bin", "mag")).select("vec_id", "frame", F.col("bin").cast("long").alias("bin"), r6("mag", "mag"))
+
+
+@query(FRAME_DFT + " SELECT vec_id, frame, arg_max(bin, round(mag, 6) * 1000 - bin * 1e-9) AS peak_bin FROM m WHERE bin BETWEEN 2 AND 6 GROUP BY vec_id, frame")
+def band_peak_track_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = F.transform(F.slice("m", 3, 5), lambda x: F.round(x, 6))
+    return frame_dft(spark, sf_dir).select("vec_id", "frame", (A.first_argmax(band) + 2).cast("long").alias("peak_bin"))
+
+
 @query(LONG + ", d AS (SELECT vec_id, i, 10 * log10(greatest(v * v, 1e-10)) AS db FROM l) SELECT vec_id, CAST(i AS BIGINT) AS i, round(greatest(db, max(db) OVER (PARTITION BY vec_id) - 80), 6) AS db FROM d")
 def power_to_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = A.power_to_db(F.transform("y", lambda x: x * x))

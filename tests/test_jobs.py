@@ -45,3 +45,14 @@ def test_reports(spark, tmp_path):
     (tmp_path / "svm.preds.csv").write_text("path,p\na,1\nb,2\n")
     (tmp_path / "lr.preds.csv").write_text("path,p\na,1\n")
     assert sorted((r["tag"], r["n_predictions"]) for r in jobs.collect_reports(spark, str(tmp_path)).collect()) == [("lr", 1), ("svm", 2)]
+
+
+def test_every_user_is_aligned_and_every_frame_transformed(spark):
+    from millrace.plans import catalog
+
+    data, found = "/root/testdata/sf0.001", catalog.queries()
+    users = spark.read.parquet(f"{data}/events.parquet").select("user_id").distinct()
+    aligned = found["align_job"](spark, data).select("user_id")
+    assert aligned.count() == users.count() and users.join(aligned, "user_id", "left_anti").isEmpty()
+    frames = found["frame_signal"](spark, data).count()
+    assert found["band_peak_track_frames"](spark, data).count() == frames and found["dft_magnitude_frames"](spark, data).count() == 9 * frames
