@@ -94,6 +94,68 @@ def test_near_duplicates_that_repeat_a_passage(spark):
     assert got == plain_clusters(docs) == {d: d - d % 2 for d, _ in docs}
 
 
+def loose_group(n, seed=5):
+    """Texts around one base, 0.6 to 0.75 alike, and beside every tenth a copy of it with a word or two changed."""
+    rng = np.random.default_rng(seed)
+    base, out = [f"b{i}" for i in range(100)], []
+    for d in range(n):
+        words = list(base)
+        for at in rng.integers(0, 100, 5):
+            words[at] = f"own{d}x{at}"
+        out.append((2 * d, " ".join(words)))
+        if d % 10 == 0:
+            words[int(rng.integers(100))] = f"near{d}"
+            out.append((2 * d + 1, " ".join(words)))
+    return out
+
+
+def test_loose_groups_take_few_comparisons_and_lose_few_links(spark, monkeypatch):
+    """One large group whose members are mostly too far apart: pairs grow with its members, not with their square."""
+    made, real = [], neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *rest: made.append(pairs.count()) or real(pairs, *rest))
+    figures = []
+    for n in (150, 300):
+        made.clear()
+        docs = loose_group(n)
+        got = {r["doc_id"]: r["cluster"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        truth = plain_clusters(docs)
+        assert all(truth[d] == truth[c] for d, c in got.items())
+        near = [d for d in got if d % 2]
+        figures.append((sum(made), np.mean([got[d] == got[d - 1] for d in near]), np.mean([len({got[x] for x in g}) == 1 for g in groups_of(truth)])))
+    assert figures[1][0] < 2.6 * figures[0][0] and all(f[1] >= 0.9 for f in figures), figures
+
+
+def groups_of(label):
+    by = collections.defaultdict(list)
+    for d, c in label.items():
+        by[c].append(d)
+    return [g for g in by.values() if len(g) > 1]
+
+
+def test_counted_weights_tell_repeated_passages_apart(spark):
+    text, passage = " ".join(f"w{i}" for i in range(304)), " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, text), (2, f"{text} {' '.join([passage] * 60)}"), (3, f"{text} end"), (3, "another text of the same id stands alone here")], "doc_id long, text string")
+    cluster = lambda **k: sorted((r["doc_id"], r["cluster"], r["n_links"] > 0) for r in neardup.near_duplicates(docs, **k).collect())
+    assert cluster(weights="counts") == [(1, 1, True), (2, 2, False), (3, 1, True), (3, 3, False)]
+    assert cluster() == [(1, 1, True), (2, 1, True), (3, 1, True), (3, 3, False)]
+
+
+def test_probability_jaccard_is_its_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = (np.unique(rng.integers(0, 30, 20)).astype(np.uint64) for _ in range(2))
+        wa, wb = rng.integers(1, 6, len(a)), rng.integers(1, 6, len(b))
+        x, y = dict(zip(a.tolist(), wa.tolist(), strict=True)), dict(zip(b.tolist(), wb.tolist(), strict=True))
+        plain = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+        assert abs(neardup.probability_jaccard(a, wa, b, wb) - plain) < 1e-9
+
+
+def test_one_row_of_a_repeated_winner_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (4, ""), (4, "")], "doc_id long, text string")
+    assert sorted(map(repr, (r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()))) == ["1", "4", "4", "None"]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 150)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
