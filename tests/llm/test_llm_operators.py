@@ -182,29 +182,74 @@ def test_lines_over_odd_rows(spark, odd_docs, no_docs):
     assert lines.dedup_lines(no_docs).count() == 0
 
 
-def plain_spans(docs, run=3, least=40):
+def plain_units(text):
+    """Brute force: sentences, those of over LONG tokens cut behind the greatest token of any WINDOW."""
     import re
 
-    sentences = {d: re.findall(spans.SENTENCE, t or "") for d, t in docs}
-    key = lambda s: re.sub(r"[ \t\r\n]+", " ", s).strip(" ").lower()
-    first, gone = {}, collections.defaultdict(set)
-    for d in sorted(sentences):
-        s = sentences[d]
-        for i in range(len(s) - run + 1):
-            if sum(map(len, s[i : i + run])) >= least and first.setdefault(tuple(map(key, s[i : i + run])), (d, i)) != (d, i):
-                gone[d].update(range(i, i + run))
-    return {d: "".join(x for i, x in enumerate(s) if i not in gone[d]) for d, s in sentences.items()}
-
-
-def test_spans_are_brute_forces(spark, odd_docs, no_docs):
-    passage = "It began with rain. The river rose for days. Nobody slept in the low houses. Then it stopped."
-    docs = [(i, f"Doc {i} opens so. {passage} And doc {i} ends.") for i in range(1, 30)] + [(40, f"{passage} {passage}"), (41, "One. Two."), (42, None), (43, "")]
-    out = {r["doc_id"]: r["text"] for r in spans.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert out == plain_spans(docs)
-    odd = spans.dedup_spans(odd_docs)
+    out = []
+    for s in re.findall(spans.SENTENCE, text):
+        tokens, low = re.findall(spans.TOKEN, s), re.findall(spans.BARE, s.translate(decontam.LOWERED))
+        if len(low) <= spans.LONG:
+            out.append((s, low))
+            continue
+        ends = sorted({max((low[q].encode(), q) for q in range(k, k + spans.WINDOW))[1] + 1 for k in range(len(low) - spans.WINDOW + 1)} | {len(low)})
+        out += [("".join(tokens[a:z]), low[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
+    return out
+
+
+def plain_spans(docs, min_docs=2):
+    held, gone, kept = collections.defaultdict(list), collections.defaultdict(set), {}
+    split = {d: plain_units(t or "") for d, t in docs}
+    for d in sorted(split):
+        for i in range(len(split[d])):
+            e, n = i, 0
+            while e < len(split[d]) and n < spans.MIN_TOKENS:
+                n += max(1, len(split[d][e][1]))
+                e += 1
+            if n >= spans.MIN_TOKENS:
+                held[tuple(" ".join(low) for _, low in split[d][i:e])].append((d, i, e))
+    for places in held.values():
+        if len(places) > 1 and len({d for d, _, _ in places}) >= min_docs:
+            for d, i, e in places[1:]:
+                gone[d].update(range(i, e))
+    for d, u in split.items():
+        kept[d] = "".join(x for i, (x, _) in enumerate(u) if i not in gone[d])
+    return kept
+
+
+@pytest.mark.parametrize("min_docs", [1, 2, 3])
+def test_spans_are_brute_forces(spark, odd_docs, no_docs, min_docs):
+    passage = "It began with rain. The river rose for days, and all night long. Nobody slept in the low houses. Then it stopped, as if nothing had been. So they went."
+    docs = [(i, f"Doc {i} opens so. {passage} And doc {i} ends.") for i in range(1, 30)] + [(40, f"{passage} {passage}"), (41, "One. Two."), (42, None), (43, ""), (44, "\n \n\n" + "x y z " * 30)]
+    docs += [(50 + i, f"{'word ' * i}{' '.join(f'long{k}' for k in range(90))} {'end ' * i}") for i in range(4)] + [(60, " ".join(f"own{k}" for k in range(30)) + ". Alone. " + " ".join(f"own{k}" for k in range(30)) + ".")]
+    out = {r["doc_id"]: r["text"] for r in spans.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string"), min_docs=min_docs).collect()}
+    assert out == plain_spans(docs, min_docs)
+    odd = spans.dedup_spans(odd_docs, min_docs=min_docs)
     assert odd.count() == odd_docs.count() and set(odd_docs.columns) <= set(odd.columns) and spans.dedup_spans(no_docs).count() == 0
 
 
+def test_spans_catch_planted_passages_and_leave_stock_lines(spark):
+    """Passages of 51 to 80 words put anywhere, into the middle of sentences too, of one sentence or many; stock lines of 12 words stay."""
+    rng = np.random.default_rng(8)
+    words = lambda n, k: [f"{'abcdefghijklmnopqrstuvwxyz'[int(rng.integers(26))]}{int(rng.integers(300))}{k}" for _ in range(n)]
+
+    def prose(n, mark, stops):
+        return [w + ("." if stops and rng.random() < 0.12 else "") for w in words(n, mark)]
+
+    stock = "All rights reserved by the owners of this work. Do not copy."
+    passages = [prose(int(rng.integers(51, 80)), f"p{p}", p % 2) for p in range(30)]
+    docs, planted = [], {}
+    for p, passage in enumerate(passages):
+        for c in range(3):
+            text, at = prose(150, f"d{p}x{c}", c != 1), int(rng.integers(150))
+            docs.append((10 * p + c, " ".join(text[:at] + passage + text[at:]) + "\n" + stock))
+            planted[10 * p + c] = c > 0
+    docs += [(1000 + i, " ".join(prose(200, f"e{i}", True)) + "\n" + stock) for i in range(60)]
+    out = {r["doc_id"]: r["n_removed"] > 0 for r in spans.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert np.mean([out[d] for d, later in planted.items() if later]) >= 0.98
+    assert not any(out[d] for d in out if not planted.get(d))
+
+
 def test_quality_over_odd_rows(spark, odd_docs, no_docs):
     out = quality.quality(odd_docs).collect()
     by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
