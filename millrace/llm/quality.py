@@ -17,14 +17,14 @@ SYMBOLS = "[#*$%&|<>]"
 #: Transformed statistics; each is an integer in steps of 1 / SCALE.
 STATS = ("z_len", "z_word", "z_symbol", "z_line", "z_repeat")
 SCALE = 256
-#: Least standard deviation of each statistic, in steps: what differs less than that is no outlier, however alike a group is.
-FLOORS = {"z_len": 2 * SCALE, "z_word": SCALE // 8, "z_symbol": SCALE // 2, "z_line": SCALE // 2, "z_repeat": SCALE // 2}
+#: Least standard deviation of each statistic, in steps: however alike a group is, smaller differences than some of these are no outliers.
+FLOORS = {"z_len": SCALE, "z_word": SCALE // 8, "z_symbol": SCALE // 2, "z_line": SCALE // 2, "z_repeat": SCALE // 2}
 #: 0.9999 quantile of chi-square with five degrees of freedom; its median; both fixed values.
 CUTOFF, CHI2_MEDIAN = 25.745, 4.351
 #: Share of a group that the determinant is minimised over, and concentration steps.
 SUPPORT_PERCENT, STEPS = 75, 4
-#: Groups with fewer rows than this share one estimate over all small groups.
-MIN_GROUP = 50
+#: Every group's moments are its own and, as if PRIOR rows more, the mean moments of its language's supports.
+PRIOR = 50
 #: Squared distances are counted in bins of 1 / BINS_PER_UNIT; above MAX_BIN they share one.
 BINS_PER_UNIT, MAX_BIN = 64, 64 * 1024
 
@@ -96,12 +96,14 @@ def _moment_sql() -> list[str]:
 
 
 def _fit_sql() -> list[list[tuple[str, str]]]:
-    """Steps from moments to means u_i and the inverse Cholesky factor's terms: lists of (name, expression), each over those before."""
-    mean = [(f"u_{i}", f"CAST(m_{i} AS DOUBLE) / CAST(m_n AS DOUBLE)") for i in range(5)]
+    """Steps from moments (m_ of the group, p_ of its language) to means u_i and the Cholesky factor's terms: lists of (name,
+    expression), each over those before."""
+    shrunk = lambda k: f"(CAST(m_{k} AS DOUBLE) + {float(PRIOR)!r}e0 * (CAST(p_{k} AS DOUBLE) / CAST(p_n AS DOUBLE))) / (CAST(m_n AS DOUBLE) + {float(PRIOR)!r}e0)"
+    mean = [(f"u_{i}", shrunk(i)) for i in range(5)]
     cov = []
     for i, j in _pairs():
-        floor = f" + {float(FLOORS[STATS[i]] ** 2)!r}e0" if i == j else ""
-        cov.append((f"c_{i}_{j}", f"CAST(m_{i}_{j} AS DOUBLE) / CAST(m_n AS DOUBLE) - u_{i} * u_{j}{floor}"))
+        c = f"{shrunk(f'{i}_{j}')} - u_{i} * u_{j}"
+        cov.append((f"c_{i}_{j}", f"greatest({c}, {float(FLOORS[STATS[i]] ** 2)!r}e0)" if i == j else c))
     steps = [mean, cov]
     for j in range(5):  # Cholesky: c = l l^T, column by column
         inner = "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j))
@@ -138,24 +140,32 @@ def _quantile_bin(df: DataFrame, keys: list[str], value: str, percent: int) -> D
     return held.filter(F.col("_upto") * 100 >= F.col("_all") * percent).groupBy(*keys).agg(F.min(value).alias("q"))
 
 
+MOMENTS = ["n", *map(str, range(5)), *(f"{i}_{j}" for i, j in _pairs())]
+
+
 def robust_distances(stats: DataFrame) -> DataFrame:
-    """Adds d2, the squared robust distance of each row from its group (``grp``), consistent at the median.
+    """Adds d2, the squared robust distance of each row from its group (``grp``, of a language ``lang``), consistent at the median.
+
+    Fast minimum covariance determinant: the start is the rows nearest to the coordinatewise medians; each of STEPS concentration
+    steps fits mean and covariance to the SUPPORT_PERCENT nearest rows and measures all rows anew. Without floors and prior a
+    step never raises the determinant; with them small and near-constant groups are bounded by what their language shows.
+    Quantiles are over bins of integers, so rows in the last bin taken are all taken (ties are one).
 
-    Fast minimum covariance determinant: the start is the rows nearest to the coordinatewise medians; each concentration
-    step fits mean and covariance to the SUPPORT_PERCENT nearest rows and measures all rows anew, which never raises the
-    determinant. Quantiles are over bins of integers, so rows in the last bin taken are all taken.
+    Quantiles and fits are a row per group, written and read again: where their size is below Spark's broadcast threshold the
+    documents are measured where they lie, without a shuffle, and a group of any share of the rows makes no task longer.
     """
     long = stats.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(z).alias("v")) for i, z in enumerate(STATS)])).alias("s")).select("grp", "s.i", "s.v")
-    medians = _quantile_bin(long, ["grp", "i"], "v", 50).groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"med_{i}") for i in range(5)])
+    medians = stored(_quantile_bin(long, ["grp", "i"], "v", 50).groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"med_{i}") for i in range(5)]), "quality-medians")
     near = reduce(lambda a, b: a + b, [F.expr(f"pow(CAST({z} - med_{i} AS DOUBLE) / {float(FLOORS[z])!r}e0, 2)") for i, z in enumerate(STATS)])
     current = stats.join(medians, "grp").withColumn("bin", F.floor(F.least(near * BINS_PER_UNIT, F.lit(float(MAX_BIN)))).cast("long")).select(*stats.columns, "bin")
     for _ in range(STEPS):
-        support = current.join(_quantile_bin(current, ["grp"], "bin", SUPPORT_PERCENT), "grp").filter(F.col("bin") <= F.col("q"))
-        fit = _apply(support.groupBy("grp").agg(*[F.expr(x) for x in _moment_sql()]), _fit_sql()).select("grp", *FIT_COLUMNS)
+        support = current.join(stored(_quantile_bin(current, ["grp"], "bin", SUPPORT_PERCENT), "quality-bins"), "grp").filter(F.col("bin") <= F.col("q"))
+        own = stored(support.groupBy("lang", "grp").agg(*[F.expr(x) for x in _moment_sql()]), "quality-moments")
+        prior = own.groupBy(F.col("lang").alias("p_lang")).agg(*[F.sum(f"m_{k}").cast("decimal(38,0)").alias(f"p_{k}") for k in MOMENTS])
+        fit = stored(_apply(own.join(prior, F.col("lang") == F.col("p_lang")), _fit_sql()).select("grp", *FIT_COLUMNS), "quality-fit")
         current = _apply(stats.join(fit, "grp"), _distance_sql()).select(*stats.columns, "d2", "bin")
-        current = stored(current, "quality-step")
-    middle = _quantile_bin(current, ["grp"], "bin", 50)
-    # Distances are stretched only where the fit is too tight: the floors make it wide in groups of like documents.
+    middle = stored(_quantile_bin(current, ["grp"], "bin", 50), "quality-bins")
+    # Distances are stretched only where the fit is too tight: floors and prior make it wide in groups of like documents.
     factor = F.least(F.lit(1.0), F.lit(CHI2_MEDIAN * BINS_PER_UNIT) / (F.col("q") + 1).cast("double"))
     return current.join(middle, "grp").withColumn("d2", F.col("d2") * factor).select(*stats.columns, "d2")
 
@@ -163,16 +173,15 @@ def robust_distances(stats: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang, source): text_hash, the base statistics, base_failed, d2 and kept.
 
-    Null text: no words, base_failed. Null language or source: a group of its own. Groups of fewer than MIN_GROUP rows that
-    passed the base rules share one estimate. Rows that failed the base rules do not enter the estimates; their d2 is null.
-    Repeated rows count as often as they stand. No documents: no rows. Extra columns of the input are not returned.
+    Null text: no words, base_failed. Null language or source: a value of its own. Every group is estimated, however small: its
+    moments are drawn to its language's by PRIOR rows' weight. Rows that failed the base rules do not enter the estimates; their
+    d2 is null. Repeated rows count as often as they stand. Very long texts are counted whole, as arrays of their words in one
+    row. No documents: no rows. Extra columns of the input are not returned.
     """
     base = only(docs, doc_id="long", text="string", lang="string", source="string")
     counts = stored(base_statistics(base).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text"), "quality-stats")
-    passed = counts.filter(~F.col("base_failed")).select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", F.to_json(F.array("lang", "source")).alias("own"))
-    sizes = passed.groupBy("own").agg(F.count(F.lit(1)).alias("_size"))
-    grouped = passed.join(sizes, "own").withColumn("grp", F.when(F.col("_size") >= MIN_GROUP, F.col("own")).otherwise("small"))
-    stats = stored(grouped.selectExpr("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "grp", *[f"{v} AS {k}" for k, v in _stat_columns()]), "quality-z")
+    passed = counts.filter(~F.col("base_failed")).select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", F.to_json(F.array("lang", "source")).alias("grp"), F.to_json(F.array("lang")).alias("lang"))
+    stats = stored(passed.selectExpr("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "grp", "lang", *[f"{v} AS {k}" for k, v in _stat_columns()]), "quality-z")
     columns = ["doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept"]
     judged = robust_distances(stats).withColumn("base_failed", F.lit(False)).withColumn("kept", F.col("d2") <= CUTOFF).select(*columns)
     failed = counts.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False)).select(*columns)
@@ -217,15 +226,16 @@ def oracle() -> str:
         "base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,"
         " CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines"
         " FROM words LEFT JOIN lin USING (doc_id) LEFT JOIN reps USING (doc_id)))",
-        f"grouped AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY lang, source) >= {MIN_GROUP} THEN concat(coalesce(lang, '?'), '/', coalesce(source, '?')) ELSE 'small' END AS grp FROM base WHERE NOT base_failed)",
-        f"stats AS (SELECT doc_id, grp, {', '.join(f'{v} AS {k}' for k, v in _stat_columns())} FROM grouped)",
+        "grouped AS (SELECT * EXCLUDE (lang), CAST(to_json([lang, source]) AS VARCHAR) AS grp, CAST(to_json([lang]) AS VARCHAR) AS lang FROM base WHERE NOT base_failed)",
+        f"stats AS (SELECT doc_id, grp, lang, {', '.join(f'{v} AS {k}' for k, v in _stat_columns())} FROM grouped)",
         f"long AS ({' UNION ALL '.join(f'SELECT grp, {i} AS i, {z} AS v FROM stats' for i, z in enumerate(STATS))})",
         f"med AS (SELECT grp, {', '.join(f'max(q) FILTER (WHERE i = {i}) AS med_{i}' for i in range(5))} FROM {_quantile_sql('long', 'grp, i', 'v', 50)} GROUP BY grp)",
         f"s0 AS (SELECT stats.*, CAST(floor(least(({near}) * {BINS_PER_UNIT}, {MAX_BIN}.0e0)) AS BIGINT) AS bin FROM stats JOIN med USING (grp))",
     ]
-    z = ", ".join(["stats.doc_id", "stats.grp", *(f"stats.{x}" for x in STATS)])
+    z = ", ".join(["stats.doc_id", "stats.grp", "stats.lang", *(f"stats.{x}" for x in STATS)])
     for k in range(STEPS):
-        moments = f"(SELECT s{k}.grp, {', '.join(_moment_sql())} FROM s{k} JOIN {_quantile_sql(f's{k}', 'grp', 'bin', SUPPORT_PERCENT)} AS t ON s{k}.grp = t.grp AND s{k}.bin <= t.q GROUP BY s{k}.grp)"
+        ctes.append(f"o{k} AS (SELECT s{k}.lang, s{k}.grp, {', '.join(_moment_sql())} FROM s{k} JOIN {_quantile_sql(f's{k}', 'grp', 'bin', SUPPORT_PERCENT)} AS t ON s{k}.grp = t.grp AND s{k}.bin <= t.q GROUP BY s{k}.lang, s{k}.grp)")
+        moments = f"(SELECT * FROM o{k} JOIN (SELECT lang, {', '.join(f'CAST(sum(m_{x}) AS DECIMAL(38, 0)) AS p_{x}' for x in MOMENTS)} FROM o{k} GROUP BY lang) USING (lang))"
         ctes.append(f"f{k} AS (SELECT grp, {', '.join(FIT_COLUMNS)} FROM {_steps_sql(moments, _fit_sql())})")
         ctes.append(f"s{k + 1} AS (SELECT * EXCLUDE ({', '.join(FIT_COLUMNS)}) FROM {_steps_sql(f'(SELECT {z}, f{k}.* EXCLUDE (grp) FROM stats JOIN f{k} USING (grp))', _distance_sql())})")
     last = f"s{STEPS}"
