@@ -267,6 +267,49 @@ def test_robust_distances_reject_outliers_alone(spark):
     assert all(out[i] for i in range(120)) and not any(out[1000 + i] for i in range(12))
 
 
+def plain_distances(z, grp, lang):
+    """Numpy: concentration steps per group with its language's moments as a prior; formulas of its own, by means and np.linalg."""
+    floors = np.array([quality.FLOORS[k] for k in quality.STATS], float)
+    per_bin = 1 / quality.BINS_PER_UNIT
+    bins = lambda d: np.floor(np.minimum(d / per_bin, quality.MAX_BIN))
+    nearest = lambda b, share: b <= np.sort(b)[int(np.ceil(len(b) * share / 100)) - 1]
+    groups = {g: np.flatnonzero(grp == g) for g in sorted(set(grp))}
+    median = lambda x: np.sort(x, axis=0)[int(np.ceil(len(x) / 2)) - 1]
+    d2 = np.zeros(len(z))
+    for g, at in groups.items():
+        d2[at] = (((z[at] - median(z[at])) / floors) ** 2).sum(axis=1)
+    for _ in range(quality.STEPS):
+        held = {g: z[at[nearest(bins(d2[at]), quality.SUPPORT_PERCENT)]] for g, at in groups.items()}
+        second = lambda x: x.T @ x / len(x)
+        for g, at in groups.items():
+            near = np.concatenate([x for h, x in held.items() if lang[groups[h][0]] == lang[at[0]]])
+            own, w = held[g], len(held[g]) / (len(held[g]) + quality.PRIOR)
+            mean = w * own.mean(axis=0) + (1 - w) * near.mean(axis=0)
+            cov = w * second(own) + (1 - w) * second(near) - np.outer(mean, mean)
+            np.fill_diagonal(cov, np.maximum(np.diag(cov), floors**2))
+            d2[at] = np.einsum("ij,jk,ik->i", z[at] - mean, np.linalg.inv(cov), z[at] - mean)
+    for at in groups.values():
+        b = bins(d2[at])
+        d2[at] = d2[at] * min(1.0, quality.CHI2_MEDIAN * quality.BINS_PER_UNIT / (np.sort(b)[int(np.ceil(len(b) / 2)) - 1] + 1))
+    return d2
+
+
+def test_robust_distances_are_numpys(spark):
+    """Groups of 5 to 500 rows in two languages, outliers in each; each group is estimated."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, (n, lang) in enumerate([(5, "a"), (49, "a"), (50, "a"), (500, "b"), (1, "b")]):
+        mix = rng.normal(size=(5, 5)) * 60
+        z = np.round(rng.normal(size=(n, 5)) @ mix + rng.normal(size=5) * 200)
+        z[: n // 12] += 3000
+        rows += [(int(len(rows) + i), f"g{g}", lang, *map(int, x)) for i, x in enumerate(z)]
+    df = spark.createDataFrame(rows, "id long, grp string, lang string, " + ", ".join(f"{k} long" for k in quality.STATS))
+    got = np.array([r["d2"] for r in quality.robust_distances(df).orderBy("id").collect()])
+    want = plain_distances(np.array([r[3:] for r in rows], float), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-9)
+    assert (want > quality.CUTOFF).sum() >= 40
+
+
 def test_decontamination_over_odd_rows_and_blocks(spark, odd_docs, no_docs, monkeypatch):
     items = spark.createDataFrame([(1, "word1 of a plain text that goes on word2 of a plain"), (2, "short"), (None, "x y z"), (4, None)], "item_id long, text string")
     whole = sorted(map(repr, decontam.decontaminate(odd_docs.dropDuplicates(["doc_id"]).filter("doc_id is not null"), items).collect()))
