@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from millrace.functions import dsp
 from millrace.functions import text as T
 
-#: Column names that mean a path or a label, in the order in which they are tried. Fixed values.
-PATH_NAMES = ("path", "file", "filename", "filepath", "audio", "audio_path", "wav", "utt", "utt_id", "name")
-LABEL_NAMES = ("label", "class", "target", "key", "type", "y")
+#: Column names that mean a path, a label, segments, and a segment's start and end. Fixed values.
+PATH_NAMES = ("path", "utt", "utterance", "fname", "file", "audio", "relpath")
+LABEL_NAMES = ("label", "class", "y", "target", "spoof_type", "bonafide_spoof")
+SEGMENT_NAMES = ("segments", "manip_segments", "spoof_segments", "partial", "spoof_region", "regions", "boundaries")
+START_NAMES = ("start", "start_sec", "seg_start", "onset", "t0")
+END_NAMES = ("end", "end_sec", "seg_end", "offset", "t1")
 
 
 def clips_manifest(spark: SparkSession, path: str, label_required: bool = False) -> DataFrame:
@@ -32,16 +35,37 @@ def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE").fillna("")
 
 
-def _present(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
-    by = {c.lower(): c for c in df.columns}
-    return [F.nullif(F.trim(F.col(f"`{by[n]}`")), F.lit("")) for n in names if n in by]
+def _named(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """The table's columns of these names, in any case, in the order of the names; a null counts as an empty text."""
+    by = {c.lower(): c for c in reversed(df.columns)}
+    return [F.coalesce(F.col(f"`{by[n]}`").cast("string"), F.lit("")) for n in names if n in by]
+
+
+def row_segments(df: DataFrame) -> Column:
+    """Spans of each row: of the first segment column that holds some, else of start and end columns, else of JSON in a cell."""
+    ways = [F.array().cast("array<struct<s:double,e:double>>")]
+    for cell in reversed(_named(df, SEGMENT_NAMES)):
+        ways.insert(0, T.json_segments(cell))
+    starts, ends = _named(df, START_NAMES), _named(df, END_NAMES)
+    if starts and ends:
+        a, b = starts[0].try_cast("double"), ends[0].try_cast("double")
+        ways.insert(0, F.when(a.isNotNull() & b.isNotNull(), F.array(F.struct(F.least(a, b).alias("s"), F.greatest(a, b).alias("e")))))
+    for cell in reversed(_named(df, SEGMENT_NAMES)):
+        parts = F.filter(F.split(cell, "[;|]"), lambda x: F.trim(x) != "")
+        ways.insert(0, T.segments(F.array_join(parts, " "), parts))
+    return T.milliseconds_to_seconds(T.first_segments(*ways))
 
 
 def protocol(df: DataFrame) -> DataFrame:
-    """(path, label) by the synonyms that the table has; else its first column, and the words of the whole row."""
-    path = F.coalesce(*_present(df, PATH_NAMES), F.col(f"`{df.columns[0]}`"))
-    labels = _present(df, LABEL_NAMES)
-    return df.select(path.alias("path"), T.normalize_label(F.coalesce(*labels, F.concat_ws(" ", *df.columns)) if labels else F.concat_ws(" ", *df.columns)).alias("label"))
+    """(path, label, segs) of a table of any columns: path and label by the first synonym that it has; without one, its first column
+    for the path, and the words of the whole row for the label."""
+    path, labels = _named(df, PATH_NAMES), _named(df, LABEL_NAMES)
+    words = F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in df.columns])
+    return df.select(
+        (path[0] if path else F.coalesce(F.col(f"`{df.columns[0]}`").cast("string"), F.lit(""))).alias("path"),
+        T.normalize_label(labels[0] if labels else words).alias("label"),
+        row_segments(df).alias("segs"),
+    )
 
 
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -72,10 +96,12 @@ def frequency_log(spark: SparkSession, path: str, time: str = "time", value: str
 
 
 def audio_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, label, content) of audio files in root/<label>/, found by extension."""
+    """(path, label, content) of audio files anywhere below root/<label>/, found by extension; files of the root itself go."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    return files.filter(T.has_audio_extension(F.col("path"))).select("path", below.alias("label"), "content")
+    below = F.split(F.substr(F.col("path"), F.lit(len(base) + 2)), "/")
+    return files.filter(T.has_audio_extension(F.col("path")) & (F.size(below) > 1)).select("path", below[0].alias("label"), "content")
 
 
 def decode_wav(content: bytes, target: int = 16000) -> np.ndarray:

@@ -126,7 +126,20 @@ def test_readers(spark, tmp_path):
     audio = {r["path"].rpartition("/")[2]: r for r in readers.load_audio(files).collect()}
     assert audio["a.wav"]["status"] == "ok" and abs(len(audio["a.wav"]["y"]) - 3200) <= 1 and audio["b.wav"]["status"].startswith("err")
     table = spark.createDataFrame([("f1", "spoof")], "File string, Label string")
-    assert tuple(readers.protocol(table).first()) == ("f1", "fake")
+    assert tuple(readers.protocol(table).first()) == ("f1", "fake", [])
+    (tmp_path / "t" / "real" / "x").mkdir(parents=True)
+    (tmp_path / "t" / "real" / "x" / "c.wav").write_bytes(b"nothing")
+    (tmp_path / "t" / "loose.wav").write_bytes(b"nothing")
+    found = {r["path"].rpartition("/")[2]: r["label"] for r in readers.audio_files(spark, str(tmp_path / "t")).select("path", "label").collect()}
+    assert found == {"a.wav": "fake", "b.wav": "fake", "c.wav": "real"}
+
+
+def test_protocols_by_their_synonyms(spark):
+    rows = [("7", "u1", "bonafide", "1.0-2.5; 3:4", "", ""), ("8", "u2", "spoof", "", "5", "4.5"), ("9", "u3", "spoof", "[[1, 2], [3, 4.5]]", "", ""), ("10", "u4", None, None, "x", None)]
+    table = spark.createDataFrame(rows, "id string, utterance string, bonafide_spoof string, regions string, onset string, t1 string")
+    got = {r["path"]: (r["label"], [tuple(x) for x in r["segs"]]) for r in readers.protocol(table).collect()}
+    assert got["u1"] == ("real", [(1.0, 2.5), (3.0, 4.0)]) and got["u2"] == ("fake", [(4.5, 5.0)]) and got["u4"][1] == []
+    assert got["u3"][1] == [(1.0, 2.0), (3.0, 4.5)]
 
 
 def test_stream_keeps_as_the_batch_does(spark, tmp_path):
