@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import only, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, CDATA, declarations and tags, whose quoted attribute values may hold >; possessive, so a failing match is linear.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: The same where an unclosed quote, or CDATA without an end, came before: each ends at the next >.
+UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,6 +116,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         while loose and loose[-1] >= index:
             loose.pop()
 
+    last, last_cdata, quoted = page.rfind(">"), page.rfind("]]>"), True
     while at < size:
         start = page.find("<", at)
         start = size if start < 0 else start
@@ -125,7 +129,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[stack[-1][1]].linked += len(text.strip())
         if start >= size:
             break
-        match = TOKEN.match(page, start)
+        match = None
+        if start <= last or page.startswith("<!--", start):
+            if quoted and not (start > last_cdata and page.startswith("<![CDATA[", start)):
+                match = TOKEN.match(page, start)
+            if match is None and (match := UNQUOTED.match(page, start)) and match[2] is not None:
+                quoted = False  # so no later tag looks for the end of a quote again, and the scan stays linear
         if not match:
             if not dropped:
                 buffer.append("<")

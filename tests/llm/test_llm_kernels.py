@@ -207,3 +207,20 @@ def test_shouting_is_judged_by_the_whole_text():
 
 def test_ids_crc32():
     assert records.crc32(np.array([1, 2, 0], np.uint32)) == zlib.crc32(array("I", [1, 2, 0]).tobytes())
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for piece in ("<a ", "<a \"", "<p '>x", "<![CDATA[", "<![CDATA[ >", "</", "<p class=\"a\" "):
+        for end in ("", ">"):
+            began = time.monotonic()
+            html.parse(piece * (1_000_000 // len(piece)) + end)
+            assert time.monotonic() - began < 20, piece
+
+
+def test_quotes_in_tags():
+    texts = lambda page: [t for _, t in html.parse(page)[1]]
+    assert texts("<p title=\"a > b\">One.</p><p title='>'>Two.</p>") == ["One.", "Two."]
+    assert texts("<p>1 < 2 and <3</p><p title=\"a > b\">Two.</p>") == ["1 < 2 and <3", "Two."]
+    assert texts("<p title=\"open>One.</p><p>Two.</p>") == ["One.", "Two."]
