@@ -21,7 +21,8 @@ from millrace.llm.common import fresh_dir, only, small_batches, stored
 from millrace.llm.crc32c import checksums, masked
 from millrace.llm.tokens import encode_batches, vocabulary_path
 
-NO_ID = -(2**63)
+#: In a record the word behind the id holds the width of its tokens, and this flag where there is no id.
+NULL_ID = 1 << 8
 FRAME = 16
 #: Bytes of a file that a reader holds at once, if no record is longer.
 READ_BYTES = 4 << 20
@@ -40,7 +41,7 @@ def frame(doc_ids: list[int | None], ids: list[np.ndarray]) -> tuple[bytes, np.n
     payloads = []
     for d, x in zip(doc_ids, ids, strict=True):
         width = 2 if not len(x) or x.max() < 1 << 16 else 4
-        payloads.append(np.int64(NO_ID if d is None else d).tobytes() + np.uint32(width).tobytes() + x.astype(f"<u{width}").tobytes())
+        payloads.append(np.int64(d or 0).tobytes() + np.uint32(width | (NULL_ID if d is None else 0)).tobytes() + x.astype(f"<u{width}").tobytes())
     sizes = np.array([len(p) for p in payloads], np.int64)
     heads = sizes.astype("<u8")
     head_crc = masked(checksums(heads.view(np.uint8), np.arange(len(sizes) + 1) * 8)).astype("<u4")
@@ -68,7 +69,7 @@ def unframe(data: bytes) -> tuple[list[int], list[np.ndarray], int]:
     told = lambda places: np.array([int.from_bytes(raw[p : p + 4].tobytes(), "little") for p in places], np.uint32)
     if not (np.array_equal(head_crc, told([a + 8 for a, _ in spans])) and np.array_equal(body_crc, told([a + 12 + n for a, n in spans]))):
         raise ValueError("a record's checksum does not match its bytes")
-    doc_ids = [int.from_bytes(data[a + 12 : a + 20], "little", signed=True) for a, _ in spans]
+    doc_ids = [None if data[a + 21] else int.from_bytes(data[a + 12 : a + 20], "little", signed=True) for a, _ in spans]
     widths = [data[a + 20] for a, _ in spans]
     return doc_ids, [np.frombuffer(data, f"<u{w}", (n - 12) // w, a + 24).astype("<u4") for w, (a, n) in zip(widths, spans, strict=True)], at
 
@@ -88,7 +89,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> I
         out.write(data)
         places = offset + np.concatenate([[0], np.cumsum(sizes)])
         counts = np.array([len(x) for x in ids], np.int64)
-        index.append(np.stack([np.array([NO_ID if d is None else d for d in doc_ids], np.int64), places[:-1], sizes, counts], axis=1))
+        index.append(np.stack([np.array([d or 0 for d in doc_ids], np.int64), places[:-1], sizes, counts], axis=1))
         n_records, n_ids, offset = n_records + len(ids), n_ids + int(counts.sum()), int(places[-1])
     if out is not None:
         out.close()
@@ -103,7 +104,7 @@ def write_records(docs: DataFrame, folder: str | None = None, vocabulary: str |
     """Encodes ``docs`` (doc_id, text) and writes them in ascending doc_id order; returns the manifest and the folder.
 
     Rows are range-partitioned by doc_id and sorted, one file for each partition; files are in doc_id order by ``part``. Null
-    texts are empty and have the end id alone. A null doc_id comes first. Rows that repeat a doc_id are records of their own.
+    texts are empty and have the end id alone. A null doc_id comes first (0 in the index, a flag in the record). Rows that repeat a doc_id are records of their own.
     No documents: no file and an empty manifest. A task holds one Arrow batch and the index of its file.
     """
     spark = docs.sparkSession
@@ -130,7 +131,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
                     starts = start + np.concatenate([[0], np.cumsum(counts)])
                     start = int(starts[-1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if d == NO_ID else d for d in doc_ids], pa.int64()), pa.array(starts[:-1]), pa.array([x.tobytes() for x in ids], pa.binary())],
+                        [pa.array(doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array([x.tobytes() for x in ids], pa.binary())],
                         ["doc_id", "start", "ids"],
                     )
                 if data:
@@ -145,7 +146,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     return placed.repartitionByRange(files, "part").mapInArrow(lambda b: _read(b, folder), "doc_id long, start long, ids binary")
 
 
-def read_at(folder: str, file: str, index: str, rows: list[int]) -> list[tuple[int, np.ndarray]]:
+def read_at(folder: str, file: str, index: str, rows: list[int]) -> list[tuple[int | None, np.ndarray]]:
     """Some records of a file, by their numbers in its index, in the order asked for."""
     store, _ = filesystem(folder)
     with store.open_input_file(index) as held, store.open_input_file(file) as data:

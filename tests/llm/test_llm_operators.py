@@ -343,6 +343,8 @@ def test_records_round_trip(spark, odd_docs, no_docs):
     row = manifest.orderBy("part").first()
     picked = records.read_at(folder, row["file"], row["index"], [row["n_records"] - 1, 0])
     assert len(picked) == 2 and picked[1][1][-1] == 0
+    ends = spark.createDataFrame([(-(2**63), "least"), (None, "none"), (2**63 - 1, "most"), (0, "nought")], "doc_id long, text string")
+    assert [r["doc_id"] for r in records.digest(ends).orderBy("start").collect()] == [None, -(2**63), 0, 2**63 - 1]
     empty, where = records.write_records(no_docs)
     assert records.read_records(empty, where).count() == 0
 
