@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_dir, only, small_batches, stored
+from millrace.llm.common import discard, fresh_dir, only, small_batches, stored
 from millrace.llm.records import filesystem
 
 #: Payloads of fewer bytes are never replaced by a revisit record.
 MIN_REVISIT_BYTES = 1000
-#: Payload bytes of a shard, about; compressed bytes after which a file is closed; key ranges that bytes are counted over.
-SHARD_BYTES, ROLL_BYTES, RANGES = 24 << 20, 8 << 20, 4096
+#: Payload bytes of a shard, about; compressed bytes after which a file is closed.
+SHARD_BYTES, ROLL_BYTES = 24 << 20, 8 << 20
+#: Key ranges that bytes are counted over, and the most shards, about; parts of a range that holds too much.
+RANGES, SPLIT = 4096, 16
 #: The date of all records, unless another is asked for: a run's clock would make two runs differ.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,24 +122,44 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     return told.join(holders, "payload_digest").filter("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
-def _with_shards(pages: DataFrame, rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard`` to ``rows``: consecutive ranges of page_id, cut where their bytes in ``pages`` reach ``shard_bytes``.
+def _place(bounds: list[int], block: int = 64) -> Column:
+    """The number of the last of the ascending ``bounds`` that page_id reaches, found by its block, then within the block."""
+    blocks = [bounds[k : k + block] for k in range(0, len(bounds), block)]
+    reached = lambda c: F.size(F.filter(c, lambda x: x <= F.col("page_id")))
+    outer = F.greatest(reached(F.from_json(F.lit(str([x[0] for x in blocks])), "array<bigint>")), F.lit(1)) - 1
+    return outer * block + F.greatest(reached(F.get(F.from_json(F.lit(str(blocks)), "array<array<bigint>>"), outer)), F.lit(1)) - 1
 
-    Bytes are counted over RANGES equal ranges of page_id; those counts, and no more, go to the driver. The cut depends on the
-    rows alone, not on partitions or a sample.
+
+def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
+    """Ascending page_ids, each the first of a shard: consecutive ranges, cut where their bytes reach ``shard_bytes``.
+
+    Bytes are counted over RANGES equal ranges of page_id; a range that holds more than a quarter of a shard is split into
+    SPLIT of its own span, again and again, until it fits or is one page_id. So ids may be dense, sparse or far off. Shards grow
+    beyond ``shard_bytes`` where there would be more than RANGES of them, so at most 4 * RANGES ranges are split at a time, and the
+    driver holds SPLIT counts of each. The cuts depend on the rows alone, not on partitions or a sample.
     """
-    ends = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    place = F.coalesce(((F.col("page_id") - F.lit(lo)) / F.lit(max(1, -(-(hi - lo + 1) // RANGES)))).cast("int"), F.lit(0))
-    counts = {r["_r"]: r["b"] for r in pages.groupBy(place.alias("_r")).agg(F.sum(F.octet_length("html") + 500).alias("b")).collect()}
-    shard, held, ranges = 0, 0, []
-    for k in sorted(counts):
-        ranges.append((k, shard))
-        held += counts[k]
-        if held >= shard_bytes:
-            shard, held = shard + 1, 0
-    cuts = pages.sparkSession.createDataFrame(ranges or [(0, 0)], "_r int, shard int")
-    return rows.withColumn("_r", place).join(F.broadcast(cuts), "_r").drop("_r"), shard + 1
+    sizes = stored(pages.filter("page_id is not null").groupBy("page_id").agg(F.sum(F.octet_length("html") + 500).alias("b")), "page-sizes")
+    whole = sizes.agg(F.sum("b").alias("b"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+    limit = max(shard_bytes, -(-(whole["b"] or 0) // RANGES))
+    small = limit / 4
+    fits, wide, parts = [], [(whole["lo"], whole["hi"])] if whole["b"] else [], RANGES
+    while wide:
+        number = _place([lo for lo, _ in wide])
+        spans = F.from_json(F.lit(json.dumps([[lo, hi, -(-(hi - lo + 1) // parts)] for lo, hi in wide])), "array<array<decimal(20,0)>>")
+        span, place = F.get(spans, F.col("n")), F.col("page_id").cast("decimal(20,0)")
+        inside = sizes.withColumn("n", number).withColumn("s", span).filter((place >= F.col("s")[0]) & (place <= F.col("s")[1]))
+        part = inside.withColumn("part", F.expr("(cast(page_id as decimal(20,0)) - s[0]) div s[2]"))
+        found = part.groupBy("n", "part").agg(F.sum("b").alias("b"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).collect()
+        fits += [(r["lo"], r["b"]) for r in found if r["b"] <= small or r["lo"] == r["hi"]]
+        wide, parts = sorted((r["lo"], r["hi"]) for r in found if r["b"] > small and r["lo"] < r["hi"]), SPLIT
+    discard(sizes)
+    bounds, held = [], limit
+    for lo, size in sorted(fits):
+        if held >= limit:
+            bounds.append(lo)
+            held = 0
+        held += size
+    return bounds or [0]
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> tuple[DataFrame, str]:
@@ -158,8 +181,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int
     # Decisions travel with the pages, in one shuffle, and are sorted before the page that they are about.
     records = base.withColumn("payload_digest", F.sha1("html")).withColumn("refers_to", F.lit(None).cast("long"))
     both = records.unionByName(revisits(base), allowMissingColumns=True)
-    sharded, n = _with_shards(base, both, shard_bytes)
-    ordered = sharded.repartitionByRange(n, "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("refers_to").isNull(), "url")
+    bounds = shard_bounds(base, shard_bytes)
+    sharded = both.withColumn("shard", _place(bounds))
+    ordered = sharded.repartitionByRange(len(bounds), "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("refers_to").isNull(), "url")
     ordered = ordered.select("shard", "page_id", "payload_digest", "url", "html", "refers_to")
     return stored(ordered.mapInArrow(lambda b: _write(b, folder, roll_bytes), MANIFEST), "warc-manifest"), folder
 
