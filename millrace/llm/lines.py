@@ -34,13 +34,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     a key is hot. Texts are shuffled at most once, by row, and not at all where the list of drops is small.
     """
     base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    # A document without doc_id gets the least id; the real column stays in base.
-    keyed = base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
+    keyed = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     repeated = repeated_lines(keyed, min_chars, min_docs)
     exploded = keyed.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), line_key))).alias("key")).filter(F.char_length("key") >= min_chars)
     mine = exploded.select("doc_id", F.xxhash64("key").alias("ka"), F.xxhash64(F.lit(1), "key").alias("kb"))
-    drops = mine.join(repeated, ["ka", "kb"]).filter(F.col("doc_id") < F.col("holder")).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("ka").alias("__line_drop"))
-    joined = base.withColumn("__line_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(drops, "__line_doc", "left")
+    # max() passes over the null id, so a line that the document without id alone holds has no holder, and stays there.
+    elsewhere = F.col("holder").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("holder")))
+    drops = mine.join(repeated, ["ka", "kb"]).filter(elsewhere).groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("ka").alias("__line_drop"))
+    joined = base.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__line_doc")), "left")
     lines = F.split("text", "\n", -1)
     gone = lambda x: (F.char_length(line_key(x)) >= min_chars) & F.array_contains("__line_drop", F.xxhash64(line_key(x)))
     kept = F.when(F.col("__line_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
