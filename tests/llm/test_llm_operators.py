@@ -228,6 +228,16 @@ def test_spans_are_brute_forces(spark, odd_docs, no_docs, min_docs):
     assert odd.count() == odd_docs.count() and set(odd_docs.columns) <= set(odd.columns) and spans.dedup_spans(no_docs).count() == 0
 
 
+def test_the_least_id_is_no_null(spark):
+    low, line = -(2**63), "a line of more than twenty letters"
+    rows = spark.createDataFrame([(low, f"{line}\none"), (None, f"{line}\ntwo"), (4, f"{line}\nthree")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(rows).collect()} == {low: "one", None: "two", 4: f"{line}\nthree"}
+    passage = " ".join(f"word{i}" for i in range(60)) + "."
+    for ids in ([None, low], [low, 3], [None, 3], [None, None]):
+        pair = spark.createDataFrame([(i, passage) for i in ids], "doc_id long, text string")
+        assert {r["doc_id"]: r["n_removed"] > 0 for r in spans.dedup_spans(pair).collect()} == {ids[0]: False, ids[1]: ids[0] != ids[1]}
+
+
 def test_spans_catch_planted_passages_and_leave_stock_lines(spark):
     """Passages of 51 to 80 words put anywhere, into the middle of sentences too, of one sentence or many; stock lines of 12 words stay."""
     rng = np.random.default_rng(8)
@@ -382,6 +392,20 @@ def test_archives_over_odd_rows(spark):
     assert warc.digest(pages.limit(0)).count() == 0
 
 
+def test_archives_over_odd_ids(spark):
+    ends = [-(2**63), -(2**63) + 1, 2**63 - 1, 0, None]
+    pages = spark.createDataFrame([(i, "u", "x" * 50) for i in ends] + [(10**15, "u", "y")] + [(k, "u", "z" * (k % 9)) for k in range(1, 2000)], "page_id long, url string, html string")
+    manifest, folder = warc.write_archives(pages, shard_bytes=20000)
+    back = warc.read_archives(manifest, folder)
+    assert collections.Counter(r["page_id"] for r in back.collect()) == collections.Counter(r["page_id"] for r in pages.collect())
+    # Two outlying ids leave the others in as many shards as without them, each of about its share.
+    shards = {r["shard"]: r["n"] for r in manifest.groupBy("shard").agg(F.sum("n_records").alias("n")).collect()}
+    assert 40 <= len(shards) <= 60 and max(shards.values()) < 100
+    sparse = pages.filter("page_id between 1 and 1999").withColumn("page_id", F.xxhash64("page_id"))
+    bounds = warc.shard_bounds(sparse, 20000)
+    assert 40 <= len(bounds) <= 60 and bounds == sorted(bounds) == warc.shard_bounds(sparse.repartition(5), 20000)
+
+
 def test_pages_over_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<article><p>Text &eacute; here.</p></article>", "x"), (2, "u", "<article><p>Text &eacute; here.</p></article>", "x")], "page_id long, url string, html string, text string")
     out = html.extract_text(pages).collect()
