@@ -183,7 +183,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, shard_bytes: int
     both = records.unionByName(revisits(base), allowMissingColumns=True)
     bounds = shard_bounds(base, shard_bytes)
     sharded = both.withColumn("shard", _place(bounds))
-    # Twice as many ranges as shards: the bounds that Spark samples then part each shard from the next.
+    # Twice as many ranges as shards: the bounds that Spark samples then seldom leave two shards to one task.
     ordered = sharded.repartitionByRange(2 * len(bounds), "shard").sortWithinPartitions("shard", "page_id", "payload_digest", F.col("refers_to").isNull(), "url")
     ordered = ordered.select("shard", "page_id", "payload_digest", "url", "html", "refers_to")
     return stored(ordered.mapInArrow(lambda b: _write(b, folder, roll_bytes), MANIFEST), "warc-manifest"), folder
