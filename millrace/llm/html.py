@@ -45,14 +45,20 @@ HINTS = (
     re.compile(r"side|aside|widget|related|recommend|popular|trending|complementary|read-?more|teaser"),
     re.compile(r"\bads?\b|\bad[-_]|[-_]ads?\b|advert|sponsor|promo|banner-?ad|outbrain|taboola"),
     re.compile(r"cookie|consent|gdpr|notice|newsletter|subscribe|popup|modal|overlay|alert|signup|paywall|toast"),
-    re.compile(r"comment|reply|replies|respon[ds]|discussion|disqus|reviews?\b|feedback"),
+    re.compile(r"comment|reply|replies|respon[ds]|discussion|disqus|thread|reviews?\b|feedback"),
     re.compile(r"share|social|follow|byline|meta\b|tags?\b|author-?(?:box|bio)|rating|tool"),
     re.compile(r"article|content|post|entry|main|body|story|text|prose"),
     re.compile(r"form|search|login|input"),
 )
 N_KINDS, N_HINTS = len(KINDS), len(HINTS)
-#: Features of a block: kind, hints, hidden, of a document's top, link share in 4 steps, own text in 4 steps, sentences.
-N_FEATURES = N_KINDS + N_HINTS + 2 + 4 + 4 + 2
+#: Features of a block: kind, hints, hidden, of a document's top, link share in 4 steps, own text in 4 steps, sentences; then where
+#: it stands: in a hidden block, in one hinted as comments, in one hinted otherwise as no content, beside article and
+#: main on a page that has one, in one (by group of kinds), the header of one, the footer of one; an article or main
+#: that no block hinted as comments or otherwise as no content holds; container of most of the page's text that is no link, or of a quarter.
+N_PLACES = 4 + 4 + 2 + 1 + 2
+N_FEATURES = N_KINDS + N_HINTS + 2 + 4 + 4 + 2 + N_PLACES
+#: Hints of blocks that are no content, comments apart.
+BESIDE = frozenset((2, 3, 4, 5, 7))
 #: Child kinds that share a table of parent-child potentials: sections, plain containers, text, lists and tables.
 GROUP = [0, 0, 0, 0, 0, 0, 0, 1, 1, 2, 2, 3, 3, 3, 2, 1, 1]
 N_GROUPS = 4
@@ -209,11 +215,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     for node in reversed(nodes[1:]):
         above = nodes[node.parent]
         above.length, above.linked = above.length + node.length, above.linked + node.linked
-    for node in nodes:
-        node.features = features(node)
+    for node, where in zip(nodes, places(nodes), strict=True):
+        node.features = features(node) + [N_FEATURES - N_PLACES + w for w in where]
     return nodes, runs
 
 
+def places(nodes: list[Node]) -> list[list[int]]:
+    """Where each block stands, as numbers of the last features: one pass up for the blocks that hold an article or
+    main, one pass down for what the blocks above tell."""
+    holds = [node.kind in (5, 6) and node.length > 0 for node in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i]
+    plain = lambda node: node.length - node.linked
+    all_plain = plain(nodes[0])
+    out: list[list[int]] = []
+    hidden, comments, beside, within = ([False] * len(nodes) for _ in range(4))
+    for i, node in enumerate(nodes):
+        if i:
+            p, above = node.parent, nodes[node.parent]
+            hidden[i] = hidden[p] or N_HINTS in above.hints
+            comments[i] = comments[p] or 6 in above.hints
+            beside[i] = beside[p] or not BESIDE.isdisjoint(above.hints)
+            within[i] = within[p] or above.kind in (5, 6)
+        flags = (
+            hidden[i], comments[i], beside[i], holds[0] and not (within[i] or holds[i]), *(within[i] and GROUP[node.kind] == g for g in range(4)), within[i] and node.kind == 1, within[i] and node.kind == 2,
+            node.kind in (5, 6) and not (beside[i] or comments[i] or node.hints and not BESIDE.union((6,)).isdisjoint(node.hints)), GROUP[node.kind] < 2 and 2 * plain(node) > all_plain, GROUP[node.kind] < 2 and 2 * plain(node) <= all_plain < 4 * plain(node),
+        )
+        out.append([k for k, on in enumerate(flags) if on])
+    return out
+
+
 def features(node: Node) -> list[int]:
     """Numbers of the features that a block has."""
     out = [node.kind, *(N_KINDS + h for h in node.hints)]
@@ -275,16 +306,39 @@ def _say(page: int, place: str) -> str:
     return " ".join(w + "." * (dotted > 0 and (i % 9 == 8 or i == n - 1)) for i, w in enumerate(words)).capitalize()
 
 
+#: Pages of the training set.
+PAGES = 144
+
+
 def labelled_pages() -> list[tuple[str, set[str]]]:
     """Pages with known content: layouts put together by hand, and for each the texts of its content blocks."""
     links = lambda words: "".join(f'<li><a href="/{w}">{w}</a></li>' for w in words.split())
     out = []
-    for k in range(96):
+    for k in range(PAGES):
         body = [_say(k, f"body {j}") for j in range(1 + k % 5)]
         title = f"{_say(k, 'title')[:70].strip()} {k}"
         wanted = {title, *body}
-        inner = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body)
         bare = k % 6 == 5
+        head = f"<h1>{title}</h1>"
+        if k % 7 in (2, 5) and not bare:  # an article's own header, with a line below the title or without
+            lead = _say(k, "lead") if k % 7 == 2 else ""
+            head = f"<header>{head}{f'<p>{lead}</p>' if lead else ''}</header>"
+            wanted |= {lead} - {""}
+        told = [f"<p>{b}</p>" for b in body]
+        if k % 9 == 4:  # a paragraph that is a link
+            told[-1] = f'<p><a href="/{k}">{body[-1]}</a></p>'
+        if k % 8 == 3 and not bare:
+            told.insert(1, f'<p class="{("notice", "cookie-note", "alert")[k // 8 % 3]}">{_say(k, "inner notice")}</p>')
+        if k % 8 == 6 and not bare:
+            told.insert(1, (f"<p hidden>{_say(k, 'unseen')}</p>", f'<div style="display:none"><p>{_say(k, "unseen")}</p></div>', f'<div aria-hidden="true">{_say(k, "unseen")}</div>')[k // 8 % 3])
+        if k % 10 == 7:
+            caption = _say(k, "caption")
+            told.insert(1, f'<figure><img src="{k}.jpg"><figcaption>{caption}</figcaption></figure>')
+            wanted.add(caption)
+        if k % 11 == 8:  # an article that is a list of links
+            told = [told[0], f"<ul>{links('Mill Harbour Bridge Orchard')}</ul>"]
+            wanted = (wanted - set(body[1:])) | {body[0], "Mill", "Harbour", "Bridge", "Orchard"}
+        inner = head + "".join(told)
         if k % 4 == 1:
             more = [_say(k, f"list {j}") for j in range(3)]
             inner += f"<h2>{more[0]}</h2><ul><li>{more[1]}</li><li>{more[2]}</li></ul>"
@@ -300,8 +354,8 @@ def labelled_pages() -> list[tuple[str, set[str]]]:
         layouts = ("<article>{}</article>", '<div class="post-content">{}</div>', "<main><section>{}</section></main>", '<div id="main"><div class="entry">{}</div></div>', '<main><article class="story">{}</article></main>', "<div><div>{}</div></div>", '<article id="a">{}</article>', "<section><article>{}</article></section>")
         main = layouts[(k + k // 8) % 8].format(inner)
         if bare:
-            plain = "".join(f"<p>{b}</p>" for b in body)
-            page, held = ((main, wanted), (inner, wanted), (plain, set(body)), (f"<div>{plain}</div>", set(body)))[k // 6 % 4]
+            plain, texts = "".join(f"<p>{_say(k, f'body {j}')}</p>" for j in range(1 + k % 5)), {_say(k, f"body {j}") for j in range(1 + k % 5)}
+            page, held = ((main, wanted), (inner, wanted), (plain, texts), (f"<div>{plain}</div>", texts))[k // 6 % 4]
             out.append((f"<html><body>{page}</body></html>", held))
             continue
         nav = (
@@ -312,15 +366,24 @@ def labelled_pages() -> list[tuple[str, set[str]]]:
             f'<div class="ad">{_say(k, "ad")}</div>', f'<aside><h3>{_say(k, "most")}</h3><ul>{links("Flood Fair Market")}</ul><p>{_say(k, "read")}</p></aside>', f'<div class="cookie-banner"><p>{_say(k, "cookie")}</p><button>Accept</button></div>',
             f'<form action="/s"><label>{_say(k, "label")}</label><p>{_say(k, "form")}</p><input name="q"></form>', f'<div class="sidebar"><h3>{_say(k, "related")}</h3><p>{_say(k, "side")}</p>{links("Next Last")}</div>',
             f'<section class="newsletter"><h3>{_say(k, "stay")}</h3><p>{_say(k, "mail")}</p></section>', f'<div class="notice">{_say(k, "notice")}</div>',
+            f'<div class="c{k % 3}"><h3>{_say(k, "beside")}</h3><p>{_say(k, "column")}</p><ul>{links("Flood Fair")}</ul></div>', f'<section class="related"><h2>{_say(k, "other")}</h2><article><h3><a href="/o">{_say(k, "other title")}</a></h3><p>{_say(k, "other lead")}</p></article></section>',
+            f'<div class="box" hidden><p>{_say(k, "box")}</p></div>',
         )
         comments = (
             f'<section id="comments"><h3>{_say(k, "count")}</h3><div class="comment"><p>{_say(k, "one")}</p></div><div class="comment"><p>{_say(k, "two")}</p></div></section>',
             f'<div class="responses"><ol><li><p>{_say(k, "one")}</p></li><li><p>{_say(k, "two")}</p></li></ol></div>', "",
-        )[k % 3]
+            f'<div class="thread"><div class="post-body"><p>{_say(k, "one")}</p></div><div class="post-body"><p>{_say(k, "two")}</p></div></div>',
+        )[k % 4]
         footer = (f"<footer>&copy; {_say(k, 'foot')}</footer>", f'<div class="footer"><p>{_say(k, "foot")}</p></div>', f'<footer><p>{_say(k, "foot")}</p><ul>{links("Terms Imprint")}</ul></footer>')[k % 3]
         if k % 2 and "</article>" in main:
             main, comments = main.replace("</article>", f"{comments}</article>"), ""
-        out.append((f"<html><body>{nav}{extra[k % 7]}{main}{extra[(k + 1 + k // 7) % 7]}{comments}{footer}</body></html>", wanted))
+        n, plain = len(extra), "<article" not in main and "<main" not in main
+        first, second = k % n, (k + 1 + k // n) % n
+        named = [extra[j] if not (plain and j == 7) else "" for j in (first, second)]  # a neutral column beside neutral content tells nothing
+        page = f"{nav}{named[0]}{main}{named[1]}{comments}{footer}"
+        if k % 5 == 2:  # wrappers whose names speak of the layout
+            page = f'<div class="{("has-sidebar", "page with-ads", "no-comments sticky-footer")[k // 5 % 3]}">{page}</div>'
+        out.append((f"<html><body>{page}</body></html>", wanted))
     return out
 
 
@@ -335,7 +398,7 @@ def _labels(nodes: list[Node], runs: list[tuple[int, str]], wanted: set[str]) ->
 
 
 @lru_cache(maxsize=1)
-def trained(rounds: int = 120, rate: float = 1.5, penalty: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
+def trained(rounds: int = 160, rate: float = 4.0, penalty: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features and parent-child potentials that make the labelled pages likely: gradient ascent, whose gradient
     is what the labels count minus what the marginals expect."""
     weights, ties = np.zeros(N_FEATURES), np.zeros((N_GROUPS, 4))
