@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,20 +13,21 @@ from millrace.operators import changepoint, manifests, metrics, series
 from millrace.operators.windows import sliding_windows, with_index
 
 
-def build_manifests(entries: DataFrame, files: DataFrame, subsets: tuple[str, ...] = ("train", "dev"), spans_of_real: bool = False) -> tuple[DataFrame, DataFrame]:
+def build_manifests(entries: DataFrame, files: DataFrame, subsets: tuple[str, ...] = ("train", "dev"), spans_of_real: bool = False, folders: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Clips (subset, path, label) and segments (subset, path, start_sec, end_sec) of protocol entries (token, label, segs).
 
-    ``files`` has (subset, path). A token is resolved within each subset by its name, stem, or name with .wav; the first of
-    ``subsets`` that has it counts. Entries that no file meets go. Spans of real entries go unless asked for.
+    ``files`` has (subset, path). A token is resolved within each subset by its path under the subset's folder or the one
+    above (``folders``, where given), its name or stem, or its name with .wav, then by the column ``last`` of the entries, if
+    they have it; the first of ``subsets`` that has it counts. Entries that no file meets go. Spans of real entries go unless asked for.
     """
     rank = F.array_position(F.array(*[F.lit(s) for s in subsets]), F.col("subset"))
-    found = None
+    found, named = None, ["token", "last"] if "last" in entries.columns else ["token"]
     for subset in subsets:
         index = manifests.path_index(files.filter(F.col("subset") == subset), "path")
-        hit = manifests.resolve(entries.select("token").distinct(), "token", index).withColumn("subset", F.lit(subset))
+        hit = manifests.resolve(entries.select(*named).distinct(), "token", index, (folders or {}).get(subset), "last" if "last" in named else None).withColumn("subset", F.lit(subset))
         found = hit if found is None else found.unionByName(hit)
-    chosen = found.groupBy("token").agg(F.min_by(F.struct("subset", "path"), rank).alias("r")).select("token", "r.*")
-    placed = entries.join(chosen, "token")
+    chosen = found.groupBy(*named).agg(F.min_by(F.struct("subset", "path"), rank).alias("r")).select(*[F.col(c).alias(f"_{c}") for c in named], "r.*")
+    placed = entries.select(*named, "label", "segs").join(chosen, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in named]))
     clips = placed.select("subset", "path", "label").dropDuplicates()
     wanted = placed if spans_of_real else placed.filter("label = 'fake'")
     segments = wanted.select("subset", "path", F.explode("segs").alias("x")).select("subset", "path", F.col("x.s").alias("start_sec"), F.col("x.e").alias("end_sec")).dropDuplicates()
@@ -33,15 +37,14 @@ def build_manifests(entries: DataFrame, files: DataFrame, subsets: tuple[str, ..
 def splice_points(frames: DataFrame, key: str, t: str, features: list[str], win_sec: float = 1.5, hop_sec: float = 0.5, penalty: float = 10.0, min_size: int = 5, breaks: int = 0, gap_sec: float = 0.7, robust: bool = True) -> DataFrame:
     """Per series (key, n_windows, boundaries_sec): window statistics, change points, boundaries in seconds, close ones merged.
 
-    Window lengths in frames follow the frame rate over all series. A series without a boundary has an empty list.
+    Window lengths in frames follow each series' own frame rate. A series without a boundary has an empty list.
     """
-    row = frames.groupBy(key).agg(F.min(t).alias("a"), F.max(t).alias("b"), F.count(F.lit(1)).alias("n")).agg(F.try_divide(F.sum(F.col("b") - F.col("a")), F.sum(F.col("n") - 1).cast("double")).alias("step")).first()
-    fps = 1.0 / max(row["step"] or 0.01, 1e-6)
-    win, hop = max(1, round(win_sec * fps)), max(1, round(hop_sec * fps))
+    paced = frames.join(series.frame_rate(frames, key, t), key)
+    win, hop = series.frames_of(win_sec, F.col("fps")), series.frames_of(hop_sec, F.col("fps"))
     aggs = [F.max_by(t, "idx").alias("_t")]
     for f in features:
         aggs += [F.percentile(f, F.lit(0.5)).alias(f"{f}_a"), (F.percentile(f, F.lit(0.75)) - F.percentile(f, F.lit(0.25))).alias(f"{f}_b")] if robust else [F.avg(f).alias(f"{f}_a"), F.stddev_pop(f).alias(f"{f}_b")]
-    windows = sliding_windows(with_index(frames, key, [t]), key, win, hop).groupBy(key, "window_idx").agg(*aggs)
+    windows = sliding_windows(with_index(paced, key, [t]), key, win, hop).groupBy(key, "window_idx").agg(*aggs)
     points = changepoint.change_points(windows, key, "window_idx", "_t", [f"{f}_{s}" for f in features for s in "ab"], penalty, min_size, breaks)
     kept = series.merge_close(points, key, "boundary_t", gap_sec)
     counts = windows.groupBy(key).agg(F.count(F.lit(1)).alias("n_windows"))

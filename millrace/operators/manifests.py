@@ -10,19 +10,32 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 
 
+#: Starts the index keys that are whole paths; names and stems of files hold no line feed.
+WHOLE = "\n"
+
+
 def path_index(files: DataFrame, path: str) -> DataFrame:
-    """(key, path) for each file's name and stem; of files that share a key the least path."""
-    keys = F.array_distinct(F.array(T.base_name(F.col(path)), T.stem(F.col(path))))
+    """(key, path) for each file's name and stem in lower case, and for the path itself; of files that share a key the least path."""
+    keys = F.array_distinct(F.array(T.base_name(F.col(path)), T.stem(F.col(path)), F.concat(F.lit(WHOLE), F.col(path))))
     return files.select(F.explode(keys).alias("key"), F.col(path).alias("path")).groupBy("key").agg(F.min("path").alias("path"))
 
 
-def resolve(tokens: DataFrame, token: str, index: DataFrame, more: list[Column] | None = None) -> DataFrame:
-    """Adds ``path`` to the tokens that an index key meets, by priority: the token, its stem, the token with .wav, then ``more``.
+def _tries(token: Column, base: str | None) -> list[Column]:
+    """Index keys that a token may mean, likeliest first; null where one does not apply."""
+    t = F.lower(F.trim(token))
+    places = [base.rstrip("/"), base.rstrip("/").rpartition("/")[0]] if base else []
+    under = [F.when(token.rlike(r"[/\\]"), F.concat(F.lit(f"{WHOLE}{place}/"), token)) for place in places]
+    return [*under, t, F.when(~t.endswith(".wav"), F.concat(t, F.lit(".wav")))]
+
+
+def resolve(tokens: DataFrame, token: str, index: DataFrame, base: str | None = None, fallback: str | None = None) -> DataFrame:
+    """Adds ``path`` to the tokens that an index key meets, by priority: a token with a folder under ``base``, then under the
+    folder above it, the token as a name or stem, the token with .wav; then the same of the column ``fallback``.
 
-    One equi-join on exploded (priority, key), whatever the number of priorities.
+    Paths are compared as written: ``..`` and links are not followed. One equi-join on exploded (priority, key), whatever the
+    number of priorities.
     """
-    t = F.lower(F.col(token))
-    tries = [t, T.stem(F.col(token)), F.concat(t, F.lit(".wav")), *(more or [])]
+    tries = [c for name in (token, fallback) if name for c in _tries(F.col(name), base)]
     keyed = tokens.withColumn("_try", F.explode(F.array(*[F.struct(F.lit(k).alias("p"), c.alias("key")) for k, c in enumerate(tries)])))
     hits = keyed.join(index.withColumnRenamed("key", "_key"), F.col("_try.key") == F.col("_key"))
     return hits.groupBy(*tokens.columns).agg(F.min_by("path", "_try.p").alias("path"))

@@ -12,17 +12,18 @@ def with_index(df: DataFrame, key: str, order: list[str], name: str = "idx") ->
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
-def sliding_windows(indexed: DataFrame, key: str, win: int, hop: int, idx: str = "idx") -> DataFrame:
-    """One row for each sample and window that holds it, with ``window_idx``.
+def sliding_windows(indexed: DataFrame, key: str, win: int | Column, hop: int | Column, idx: str = "idx") -> DataFrame:
+    """One row for each sample and window that holds it, with ``window_idx``. Length and step may be columns that are one value per series.
 
     Only complete windows count; a series shorter than ``win`` has the single window 0 over all of it. A sample is in at
     most ceil(win / hop) windows, so the rows grow by that factor at most.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     i = F.col(idx)
-    last_window = F.greatest(F.lit(0), F.floor((F.col("_n") - win) / F.lit(hop)))
-    first = F.greatest(F.lit(0), F.ceil((i - win + 1) / F.lit(hop)))
-    last = F.least(F.floor(i / F.lit(hop)), last_window)
+    win, hop = (c if isinstance(c, Column) else F.lit(c) for c in (win, hop))
+    last_window = F.greatest(F.lit(0), F.floor((F.col("_n") - win) / hop))
+    first = F.greatest(F.lit(0), F.ceil((i - win + 1) / hop))
+    last = F.least(F.floor(i / hop), last_window)
     held = indexed.withColumn("_n", n).withColumn("_first", first.cast("long")).withColumn("_last", last.cast("long"))
     return (
         held.filter(F.col("_first") <= F.col("_last"))

@@ -108,7 +108,7 @@ def text_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT key, min(url) AS path FROM (SELECT url, unnest([lower(string_split(url, '/')[-1]), regexp_replace(lower(string_split(url, '/')[-1]), '\\.[^.]*$', '')]) AS key FROM pages) GROUP BY key),
  t AS (SELECT DISTINCT CAST(o_custkey * 3 % 30000 AS VARCHAR) || CASE WHEN o_custkey % 2 = 0 THEN '.HTML' ELSE '' END AS token FROM orders),
- c AS (SELECT token, unnest([1, 2, 3]) AS p, unnest([lower(token), regexp_replace(lower(token), '\\.[^.]*$', ''), lower(token) || '.wav']) AS key FROM t)
+ c AS (SELECT token, unnest([1, 2]) AS p, unnest([lower(token), lower(token) || '.wav']) AS key FROM t)
  SELECT token, path FROM (SELECT token, path, row_number() OVER (PARTITION BY token ORDER BY p) AS o FROM c JOIN k USING (key)) WHERE o = 1""")
 def resolve_path_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey")
