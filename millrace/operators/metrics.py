@@ -36,19 +36,34 @@ def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum(1 - F.col(truth).cast("long")).alias("neg"))
 
 
+def _with_below(df: DataFrame, truth: str, score: str, parts: int = 200) -> DataFrame:
+    """Adds to each distinct score the rows of both classes below it (``neg_below``, ``pos_below``) and in all (``neg_all``, ``pos_all``).
+
+    Scores are cut at ``parts`` quantiles, so no task orders all of them: each range runs its own window, and the totals of
+    the ranges, at most ``parts`` + 1 rows, are summed up and broadcast. Null scores count as the least, NaN as the greatest.
+    """
+    number = F.col(score).cast("double")
+    cuts = df.filter(~F.isnan(number)).agg(F.percentile_approx(number, [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
+    cuts = sorted(set(cuts or []))
+    each = _by_score(df, truth, score).withColumn("_part", F.size(F.filter(F.lit(cuts), lambda c: c < F.col("score").cast("double"))) if cuts else F.lit(0))
+    parted = each.groupBy("_part").agg(F.sum("neg").alias("n"), F.sum("pos").alias("p"))
+    up, whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    before = parted.select("_part", *[F.coalesce(F.sum(c).over(up), F.lit(0)).alias(f"_{c}") for c in "np"], F.sum("n").over(whole).alias("neg_all"), F.sum("p").over(whole).alias("pos_all"))
+    inside = Window.partitionBy("_part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c: F.col(f"_{c[0]}") + F.coalesce(F.sum(c).over(inside), F.lit(0))
+    return each.join(F.broadcast(before), "_part").select("score", "pos", "neg", "pos_all", "neg_all", below("pos").alias("pos_below"), below("neg").alias("neg_below"))
+
+
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Mann-Whitney form with ties counted half; null for one class alone."""
-    below = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    won = _by_score(df, truth, score).withColumn("w", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    won = _with_below(df, truth, score).withColumn("w", F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     return won.agg(F.try_divide(F.sum("w"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) for each distinct score taken as the least that counts as positive."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = lambda c: F.try_divide(F.sum(c).over(w).cast("double"), F.sum(c).over(whole))
-    return _by_score(df, truth, score).select(F.col("score").alias("threshold"), share("neg").alias("fpr"), share("pos").alias("tpr"))
+    share = lambda c: F.try_divide((F.col(f"{c}_all") - F.col(f"{c}_below")).cast("double"), F.col(f"{c}_all"))
+    return _with_below(df, truth, score).select(F.col("score").alias("threshold"), share("neg").alias("fpr"), share("pos").alias("tpr"))
 
 
 def top_k(df: DataFrame, score: str, seq: str, k: int, ascending: bool = False) -> DataFrame:
@@ -69,7 +84,15 @@ def encode_labels(df: DataFrame, label: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_percent: int, seed: str) -> DataFrame:
-    """Adds ``is_test``: per class the first ``test_percent`` of rows in hash order."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key))
-    return df.withColumn("is_test", rank * 100 <= F.count(F.lit(1)).over(w) * test_percent)
+    """Adds ``is_test``: per class the first ``test_percent`` of rows in hash order.
+
+    Ranks come in two steps, within the first three digits of the hash and from the counts of the digits before, so a class
+    is spread over up to 4096 tasks.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).withColumn("_part", F.substring("_hash", 1, 3))
+    counts = hashed.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_counted")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_label")
+    before = counts.select("_label", "_counted", F.sum("_n").over(w).alias("_all"), (F.sum("_n").over(w.orderBy("_counted").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy(label, "_part").orderBy("_hash", key)))
+    placed = ranked.join(before, F.col(label).eqNullSafe(F.col("_label")) & F.col("_part").eqNullSafe(F.col("_counted")))
+    return placed.select(*df.columns, ((F.col("_before") + F.col("_rank")) * 100 <= F.col("_all") * test_percent).alias("is_test"))

@@ -122,9 +122,18 @@ def best_lag(correlations: DataFrame, key: str) -> DataFrame:
 
 
 def merge_close(df: DataFrame, key: str, t: str, gap: float) -> DataFrame:
-    """Greedy: a time is kept if it is at least ``gap`` after the last kept one. One row per series with its kept times."""
+    """Greedy: a time is kept if it is at least ``gap`` after the last kept one. One row per series with its kept times.
+
+    A time that comes ``gap`` or more after the one before is kept whatever came earlier, so the times between two such are
+    settled by themselves: a task folds one stretch of close times, never a whole series. Null times do not count.
+    """
+    w = Window.partitionBy(key).orderBy(t)
+    far = F.coalesce(F.col(t) - F.lag(t).over(w) >= gap, F.lit(False)).cast("long")
+    stretches = df.filter(F.col(t).isNotNull()).select(key, t, far.alias("_far")).withColumn("_stretch", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kept = F.aggregate(F.array_sort(F.collect_list(t)), F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return df.groupBy(key).agg(kept.alias("kept"))
+    folded = stretches.groupBy(key, "_stretch").agg(kept.alias("_kept"))
+    settled = folded.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_stretch", "_kept"))), lambda x: x["_kept"])).alias("_kept"))
+    return df.select(key).distinct().join(settled.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("_kept", F.array().cast("array<double>")).alias("kept"))
 
 
 def first_per_time(df: DataFrame, key: list[str], seq: str) -> DataFrame:
