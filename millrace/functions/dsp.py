@@ -150,6 +150,30 @@ def hum_peaks(y: np.ndarray, sr: int, nominal: float = 60.0, bandwidth: float =
     return np.arange(len(f)) * hop / sr, f
 
 
+def smooth(x: np.ndarray, rate: float, seconds: float, method: str = "savgol") -> np.ndarray:
+    """A series smoothed over ``seconds`` at ``rate`` values a second: the window is an odd number of values, 3 at least.
+
+    ``median``: the median around each value, zeros beyond the ends. ``savgol``: a polynomial fitted to each window, of degree
+    a fifth of its length and between 1 and 3; the first and last half window come from one fit each. A series shorter than
+    the window, without values, or no seconds: the series as it is (median: still smoothed).
+    """
+    if not len(x) or seconds <= 0:
+        return x
+    size = max(3, round(seconds * rate))
+    size += size % 2 == 0
+    half = size // 2
+    if method == "median":
+        return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, half), size), axis=1)
+    if len(x) < size or not np.isfinite(x).all():
+        return x
+    powers = np.vander(np.arange(size) - half, min(3, max(1, size // 5)) + 1, increasing=True)
+    fit = powers @ np.linalg.pinv(powers)  # row k: the weights that give the fitted value at place k of a window
+    out = np.empty(len(x))
+    out[half : len(x) - half] = np.lib.stride_tricks.sliding_window_view(x, size) @ fit[half]
+    out[:half], out[len(x) - half :] = fit[:half] @ x[:size], fit[size - half :] @ x[-size:]
+    return out
+
+
 def hum_vector(t: np.ndarray, f: np.ndarray, nominal: float = 60.0) -> np.ndarray:
     """Mean deviation, deviation, least, largest, slope per minute; five NaN without a track."""
     if not len(f):

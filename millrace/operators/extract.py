@@ -55,16 +55,22 @@ class HumConfig:
     bandwidth: float = 1.5
     strategy: str = "stft"
     between: bool = False
+    smooth_sec: float = 0.25
+    smooth_method: str = "savgol"
 
     size = 5
 
     def __post_init__(self) -> None:
         if self.strategy not in ("zc", "stft"):
             raise ValueError(f"unknown strategy {self.strategy}: zc or stft")
+        if self.smooth_method not in ("savgol", "median"):
+            raise ValueError(f"unknown smoothing {self.smooth_method}: savgol or median")
 
     def extract(self, y: np.ndarray, sr: int) -> np.ndarray:
-        track = dsp.hum_zero_crossings(y, sr, self.nominal, self.bandwidth) if self.strategy == "zc" else dsp.hum_peaks(y, sr, self.nominal, self.bandwidth, between=self.between)
-        return dsp.hum_vector(*track, self.nominal)
+        t, f = dsp.hum_zero_crossings(y, sr, self.nominal, self.bandwidth) if self.strategy == "zc" else dsp.hum_peaks(y, sr, self.nominal, self.bandwidth, between=self.between)
+        if len(f) > 1:
+            f = dsp.smooth(f, 1.0 / max(np.diff(t).mean(), 1e-6), self.smooth_sec, self.smooth_method)
+        return dsp.hum_vector(t, f, self.nominal)
 
 
 #: Parts of a vector, in their fixed order.

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -90,15 +92,27 @@ def search(train: DataFrame, features: str, label: str, key: str, trials: int =
     return best[1], best[0]
 
 
-def fuse(scores: DataFrame, heads: list[str], label: str, calibration: str = "platt") -> DataFrame:
-    """Late fusion of head scores by logistic regression; calibrated by itself (platt), isotonic regression, or not at all (margins)."""
-    made = scores.withColumn("heads", array_to_vector(F.array(*[F.col(h).cast("double") for h in heads])))
-    model = train_logistic(made, "heads", label)
-    out = model.transform(made)
+def fuse(scores: DataFrame, heads: list[str], label: str, calibration: str = "platt", folds: int = 5) -> DataFrame:
+    """Late fusion of head scores by logistic regression; calibrated by itself (platt), isotonic regression, or not at all (margins).
+
+    The isotonic curve is fitted on scores that each of ``folds`` parts gets from a model of the other parts, so no row is
+    calibrated by a score it was trained on; equal head scores share a part.
+    """
+    made = scores.withColumn("heads", array_to_vector(F.array(*[F.col(h).cast("double") for h in heads]))).persist(StorageLevel.MEMORY_AND_DISK)  # for the fits alone
+    try:
+        return _fused(made, heads, label, calibration, folds)
+    finally:
+        made.unpersist()
+
+
+def _fused(made: DataFrame, heads: list[str], label: str, calibration: str, folds: int) -> DataFrame:
+    out = train_logistic(made, "heads", label).transform(made)
     if calibration == "none":
         return out.withColumn("fused", F.get(vector_to_array("rawPrediction"), 1))
     out = out.withColumn("fused", F.get(vector_to_array("probability"), 1))
     if calibration == "isotonic":
-        curve = IsotonicRegression(featuresCol="fused", labelCol=label, predictionCol="calibrated").fit(out)
-        out = curve.transform(out).withColumn("fused", F.col("calibrated"))
+        part = F.pmod(F.xxhash64(*[F.col(h).cast("double") for h in heads]), F.lit(folds))
+        apart = [train_logistic(made.filter(part != k), "heads", label).transform(made.filter(part == k)) for k in range(folds)]
+        judged = reduce(DataFrame.union, [x.select(F.get(vector_to_array("probability"), 1).alias("fused"), label) for x in apart])
+        out = IsotonicRegression(featuresCol="fused", labelCol=label, predictionCol="calibrated").fit(judged).transform(out).withColumn("fused", F.col("calibrated"))
     return out
