@@ -68,7 +68,7 @@ def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", A.doubles(F.slice("embedding", 1, 9)).alias("y"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", A.doubles("embedding").alias("y"))
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings ORDER BY embedding[1] DESC, vec_id LIMIT 20")
@@ -81,12 +81,12 @@ def top_k_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.top_k(heads(spark, sf_dir).select("vec_id", F.get("y", 0).alias("score")), "score", "vec_id", 20, ascending=True).select("vec_id", r6("score", "score"))
 
 
-@query("SELECT vec_id, (list_position(embedding[1:9], list_max(embedding[1:9])) - 1)::INT AS class FROM embeddings")
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS class FROM embeddings")
 def first_argmax_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads(spark, sf_dir).select("vec_id", A.first_argmax(F.col("y")).alias("class"))
 
 
-@query("WITH x AS (SELECT vec_id, unnest(embedding[1:9])::DOUBLE AS v, unnest(range(9)) AS i FROM embeddings), e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x) SELECT vec_id, i, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e")
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings), e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x) SELECT vec_id, i, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e")
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads(spark, sf_dir).select("vec_id", F.posexplode(A.softmax(F.col("y"))).alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), r6("p", "p"))
 

@@ -70,3 +70,11 @@ def test_change_points_find_the_step():
     sums = changepoint.kernel_sums(x)
     best = min((changepoint.cost(sums, 0, m) + changepoint.cost(sums, m, 30), m) for m in range(3, 28))
     assert best[1] == 15
+
+
+def test_smoothing_by_seconds():
+    x = np.linspace(0, 3, 40) ** 3
+    assert np.allclose(dsp.smooth(x, 20.0, 1.0), x)  # a cubic is its own fit, at the ends too
+    noisy = np.where(np.arange(40) == 20, 99.0, 1.0)
+    assert dsp.smooth(noisy, 20.0, 0.25, "median")[20] == 1.0 and dsp.smooth(noisy, 20.0, 0.25, "median")[0] == 1.0
+    assert np.array_equal(dsp.smooth(noisy, 20.0, 0.0), noisy) and np.array_equal(dsp.smooth(noisy[:3], 20.0, 1.0), noisy[:3]) and not len(dsp.smooth(noisy[:0], 20.0, 1.0))

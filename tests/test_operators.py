@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays as A
 from millrace.functions import text as T
-from millrace.operators import extract, manifests, metrics, series
+from millrace.operators import extract, jobs as composed, manifests, metrics, series, windows
 from millrace.sources import readers
 from millrace.streaming import jobs
 
@@ -149,3 +149,54 @@ def test_stream_keeps_as_the_batch_does(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("kept").collect()) == [(1, 0.0), (1, 1.5), (2, 3.0)]
+
+
+def test_curves_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.random() < 0.4), float(round(rng.normal(), 1 if i % 2 else 4))) for i in range(700)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    pos, neg = ([s for y, s in rows if y == k] for k in (1, 0))
+    won = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(metrics.roc_auc(df, "y", "s").first()["auc"] - won) < 1e-12
+    for r in metrics.roc_points(df, "y", "s").collect():
+        assert abs(r["tpr"] - np.mean(np.array(pos) >= r["threshold"])) < 1e-12 and abs(r["fpr"] - np.mean(np.array(neg) >= r["threshold"])) < 1e-12
+    odd = spark.createDataFrame([(1, None), (0, 1.0), (1, float("nan"))], "y int, s double")
+    assert metrics.roc_auc(odd, "y", "s").first()["auc"] == 0.5 and metrics.roc_auc(odd.limit(0), "y", "s").first()["auc"] is None
+
+
+def test_split_takes_the_share_of_every_class(spark):
+    import hashlib
+
+    rows = [(i, None if i % 10 == 9 else "a" if i % 3 else "b") for i in range(500)]
+    got = {r["k"]: r["is_test"] for r in metrics.stratified_split(spark.createDataFrame(rows, "k long, c string"), "c", "k", 20, "s").collect()}
+    for c in ("a", "b", None):
+        ids = sorted((i for i, x in rows if x == c), key=lambda i: (hashlib.md5(f"{i}s".encode()).hexdigest(), i))
+        assert [got[i] for i in ids] == [(r + 1) * 100 <= len(ids) * 20 for r in range(len(ids))]
+
+
+def test_close_times_merge_within_stretches(spark):
+    rng = np.random.default_rng(4)
+    rows = [("k", float(t)) for t in rng.uniform(0, 200, 300)] + [("one", 5.0), ("none", None)]
+    kept, last = [], None
+    for t in sorted(t for k, t in rows if k == "k"):
+        if last is None or t - last >= 1.5:
+            kept.append(t)
+            last = t
+    got = {r["k"]: r["kept"] for r in series.merge_close(spark.createDataFrame(rows, "k string, t double"), "k", "t", 1.5).collect()}
+    assert got == {"k": kept, "one": [5.0], "none": []}
+
+
+def test_windows_of_lengths_that_differ_by_series(spark):
+    df = spark.createDataFrame([(k, i, w) for k, w in (("a", 4), ("b", 2)) for i in range(6)], "k string, idx long, w long")
+    got = {(r["k"], r["window_idx"]): r["n"] for r in windows.sliding_windows(df, "k", F.col("w"), F.col("w") / 2).groupBy("k", "window_idx").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", 0): 4, ("a", 1): 4} | {("b", j): 2 for j in range(5)}
+
+
+def test_tokens_with_folders_and_last_columns(spark):
+    files = spark.createDataFrame([("train", "/d/train/x/a.wav"), ("train", "/d/train/y/a.wav"), ("train", "/d/z/b.flac"), ("dev", "/d/dev/c.wav")], "subset string, path string")
+    entries = spark.createDataFrame([("y/a.wav", None), ("a", None), ("z/b.flac", None), ("gone", "c"), ("b.mp3", None), (" C ", None)], "token string, last string").selectExpr("*", "'real' AS label", "CAST(array() AS array<struct<s:double,e:double>>) AS segs")
+    index = manifests.path_index(files.filter("subset = 'train'"), "path")
+    got = {r["token"]: r["path"] for r in manifests.resolve(entries, "token", index, "/d/train").collect()}
+    assert got == {"y/a.wav": "/d/train/y/a.wav", "a": "/d/train/x/a.wav", "z/b.flac": "/d/z/b.flac"}  # the last under the folder above; b.mp3 is no stem of a file
+    clips, _ = composed.build_manifests(entries, files, folders={"train": "/d/train", "dev": "/d/dev"})
+    assert sorted((r["subset"], r["path"]) for r in clips.collect()) == [("dev", "/d/dev/c.wav"), ("train", "/d/train/x/a.wav"), ("train", "/d/train/y/a.wav"), ("train", "/d/z/b.flac")]
