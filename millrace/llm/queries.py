@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, html, lines, neardup, packing, quality, records, spans, toxicity, warc
+from millrace.llm import bpe, collocations, decontam, html, lines, neardup, packing, quality, records, spans, spelling, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: job for name, job in globals().items() if name.startswith("op") and callable(job)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op4_warc": warc.ORACLE, "op5_line_dedup": lines.ORACLE, "op6_substring_dedup": spans.ORACLE, "op9_decontamination": decontam.ORACLE}
+    return {"op3_quality_rules": quality.oracle(), "op4_warc": warc.ORACLE, "op5_line_dedup": lines.ORACLE, "op6_substring_dedup": spans.ORACLE, "op9_decontamination": decontam.ORACLE, "op11_collocations": collocations.ORACLE}

@@ -10,11 +10,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm.wordhash import BASE, GOLDEN, INVERSE, U64, mix
+from millrace.llm.packed import Lists, Numbers, padded
 
 END_ID = 0
-#: Characters encoded at once (one longer text goes by itself), and distinct pieces a worker remembers before it starts anew.
-CHUNK, CACHE_SIZE = 1 << 18, 1_500_000
+#: Characters encoded at once (one longer text goes by itself).
+CHUNK = 1 << 18
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -25,15 +25,23 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _classes() -> np.ndarray:
-    """Class of each code point, as the vocabulary's pre-tokenizer tells them apart."""
-    import regex
-
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    at = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
-    table = np.zeros(0x110000, np.uint8)
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
-        for m in regex.finditer(pattern, every):
-            table[at[m.start() : m.end()]] = kind
+    """Class of each code point, as the library's own pre-tokenizer tells them apart, whichever Unicode it knows.
+
+    It is shown all code points in order: those of a piece are of one class, which the piece's first shows beside ! a and 1.
+    """
+    from tokenizers import pre_tokenizers
+
+    pieces = lambda text: np.array([at for _, (at, _) in split.pre_tokenize_str(text)], np.int64)
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    at = np.concatenate([np.arange(0x80, 0xD800), np.arange(0xE000, 0x110000)])
+    first = pieces("".join(map(chr, at.tolist())))
+    begins = np.zeros(9 * len(first), bool)
+    begins[pieces("".join(f"!{c}\na{c}\n1{c}\n" for c in map(chr, at[first].tolist())))] = True
+    other, letter, number = (~begins[k::9] for k in (1, 4, 7))
+    table = np.full(0x110000, OTHER, np.uint8)
+    table[at] = np.repeat(np.select([other, letter, number], [OTHER, LETTER, NUMBER], SPACE), np.diff(np.append(first, len(at))))
+    for c in range(0x80):
+        table[c] = LETTER if chr(c).isalpha() else NUMBER if chr(c).isdigit() else SPACE if chr(c) in " \t\n\x0b\x0c\r" else OTHER
     return table
 
 
@@ -71,9 +79,26 @@ def piece_starts(points: np.ndarray, kinds: np.ndarray, firsts: np.ndarray) -> n
     return start
 
 
+def text_pieces(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens of texts laid end to end: the padded UTF-8 bytes, where each piece begins, its size, and the pieces before
+    each text (one number more than texts)."""
+    line = "".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(line.encode(), np.uint8)
+    if not len(line):
+        return padded(data), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+    points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    start = np.flatnonzero(piece_starts(points, kinds[points], np.unique(bounds[:-1][sizes > 0])))
+    before = np.searchsorted(start, bounds)
+    if len(data) > len(points):  # places of code points become places of bytes
+        start = np.flatnonzero((data & 0xC0) != 0x80)[start]
+    return padded(data), start, np.append(start[1:], len(data)) - start, before
+
+
 class Encoder:
-    """Encodes batches of texts. Pre-tokens are encoded apart from each other, so a text's ids are theirs in order; a worker
-    encodes each distinct one once and finds it again by a 64-bit hash, in an open-addressing table of numpy arrays."""
+    """Encodes batches of texts with the library. Pre-tokens are encoded apart from each other, so a text's ids are theirs in
+    order; a worker encodes each distinct one once. Pieces are known by their bytes, never by a hash alone."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,91 +108,33 @@ class Encoder:
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model.no_truncation()
         self.kinds = _classes()
-        self.values = mix((np.arange(0x110000, dtype=U64) + U64(1)) * GOLDEN)
-        self.power = self.inverse = np.zeros(0, U64)
         self.clear()
 
     def clear(self) -> None:
-        self.mask = (1 << 22) - 1
-        self.keys, self.slots = np.zeros(self.mask + 1, U64), np.zeros(self.mask + 1, np.int32)
-        self.offsets, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.count = 0
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) <= n:
-            for name, factor in (("power", BASE), ("inverse", INVERSE)):
-                full = np.full(n + 1, factor, U64)
-                full[0] = 1
-                setattr(self, name, np.multiply.accumulate(full))
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each piece, or -1."""
-        at = (hashes & U64(self.mask)).astype(np.int64)
-        key = self.keys[at]
-        out = np.where(key == hashes, self.slots[at], -1)
-        left = np.flatnonzero((key != hashes) & (key != 0))
-        while len(left):
-            at[left] = (at[left] + 1) & self.mask
-            key = self.keys[at[left]]
-            hit = key == hashes[left]
-            out[left[hit]] = self.slots[at[left[hit]]]
-            left = left[~hit & (key != 0)]
-        return out
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        self.numbers, self.ids = Numbers(), Lists()
+
+    def _learn(self, pieces: list[bytes]) -> None:
         """Pieces of a blank and letters are encoded as one text, which splits before each blank; others one by one."""
-        joined = np.array([p[0] == " " and p[1:].isalpha() for p in pieces], bool)
-        hashes = np.concatenate([hashes[joined], hashes[~joined]])
-        got = self.model.encode("".join(p for p, j in zip(pieces, joined, strict=True) if j), add_special_tokens=False)
-        apart = [e.ids for e in self.model.encode_batch_fast([p for p, j in zip(pieces, joined, strict=True) if not j], add_special_tokens=False)]
-        ids = np.fromiter(chain(got.ids, *apart), np.uint32)
-        lengths = np.concatenate([np.bincount(np.array(got.word_ids, np.int64), minlength=int(joined.sum())), np.array([len(x) for x in apart], np.int64)])
-        n, first = len(hashes), int(self.offsets[self.count])
-        while first + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.count + n + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.flat[first : first + len(ids)] = ids
-        self.offsets[self.count + 1 : self.count + n + 1] = first + np.cumsum(lengths)
-        slots = np.arange(self.count, self.count + n, dtype=np.int32)
-        self.count += n
-        at = (hashes & U64(self.mask)).astype(np.int64)
-        while len(at):  # the first of those that want a free place gets it, the others go on to the next
-            places, own = np.unique(at, return_index=True)
-            own = own[self.keys[places] == 0]
-            self.keys[at[own]], self.slots[at[own]] = hashes[own], slots[own]
-            left = np.ones(len(at), bool)
-            left[own] = False
-            at, hashes, slots = (at[left] + 1) & self.mask, hashes[left], slots[left]
+        strings = [p.decode() for p in pieces]
+        joined = np.array([s[0] == " " and s[1:].isalpha() for s in strings], bool)
+        got = self.model.encode("".join(s for s, j in zip(strings, joined, strict=True) if j), add_special_tokens=False)
+        apart = [e.ids for e in self.model.encode_batch_fast([s for s, j in zip(strings, joined, strict=True) if not j], add_special_tokens=False)]
+        lists = Lists()
+        lists.extend(np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=int(joined.sum())))
+        lists.extend(np.fromiter(chain(*apart), np.uint32), np.array([len(x) for x in apart], np.int64))
+        order = np.empty(len(pieces), np.int64)
+        order[np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])] = np.arange(len(pieces))
+        ids, upto = lists.gather(order)
+        self.ids.extend(ids, np.diff(upto))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id, as unsigned 32-bit numbers."""
         end = np.array([END_ID], np.uint32)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        n = int(bounds[-1])
-        if not n:
-            return [end for _ in texts]
-        line = "".join(texts)
-        points = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-        self._powers(n)
-        start = np.flatnonzero(piece_starts(points, self.kinds[points], np.unique(bounds[:-1][sizes > 0])))
-        stop = np.append(start[1:], n)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(self.values[points] * self.power[:n], out=sums[1:])
-        hashes = mix((sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(U64))
-        hashes[hashes == 0] = 1
-        if self.count > CACHE_SIZE:
+        if self.numbers.full:
             self.clear()
-        number = self._find(hashes)
-        if (new := np.flatnonzero(number < 0)).size:
-            own, first = np.unique(hashes[new], return_index=True)
-            self._learn(own, [line[start[i] : stop[i]] for i in new[first]])
-            number[new] = self._find(hashes[new])
-        lengths = self.offsets[number + 1] - self.offsets[number]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.offsets[number] - upto[:-1], lengths) + np.arange(upto[-1])]
-        cuts = upto[np.searchsorted(start, bounds)]
+        pad, start, size, before = text_pieces(texts, self.kinds)
+        ids, upto = self.ids.gather(self.numbers.number(pad, start, size, self._learn))
+        cuts = upto[before]
         return [np.append(ids[a:b], end) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 

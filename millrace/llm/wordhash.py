@@ -8,30 +8,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-U64 = np.uint64
-#: Odd multiplier of the polynomial hash, its inverse mod 2^64, and the increment and multipliers of the splitmix64 finaliser.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-GOLDEN, MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+from millrace.llm.packed import GOLDEN, U64, arrow_bytes, hashes, mix, padded
+
 #: Bytes hashed at once; a single longer text is hashed by itself.
 CHUNK = 1 << 22
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    x = (x ^ (x >> U64(30))) * MIX1
-    x = (x ^ (x >> U64(27))) * MIX2
-    return x ^ (x >> U64(31))
-
-
-def _byte_table(is_word) -> tuple[np.ndarray, np.ndarray]:
-    low = np.arange(256)
-    low[65:91] += 32
-    return np.array([is_word(b) for b in range(256)]), mix((low.astype(U64) + U64(1)) * GOLDEN)
-
-
 #: Words of letters, digits and all non-ASCII characters; A-Z count as a-z.
-IS_WORD, VALUE = _byte_table(lambda b: b >= 128 or chr(b).isalnum())
+IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+LOWERED = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 class Words(NamedTuple):
@@ -67,27 +52,14 @@ def _hash_chunk(data: np.ndarray, offsets: np.ndarray) -> Words:
         lasts = offsets[1:] - 1
         after[lasts[lasts >= 0]] = False
     end = np.flatnonzero(inside & ~after) + 1
-    power = np.full(len(data) + 1, BASE, U64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(VALUE[data] * power[:-1], out=sums[1:])
-    inverse = np.full(len(data) + 1, INVERSE, U64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    hashes = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
+    hash = hashes(padded(LOWERED[data]), start, end - start)
     text = np.searchsorted(offsets, start, side="right") - 1
-    return Words(text, start - offsets[text], end - offsets[text], hashes, np.searchsorted(start, offsets))
+    return Words(text, start - offsets[text], end - offsets[text], hash, np.searchsorted(start, offsets))
 
 
 def each_text(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Number, word hashes, starts and ends (in bytes) of each text in turn. A null has no words."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    buffer = column.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    data, offsets = arrow_bytes(column)
     for i, j in _chunks(offsets):
         words = _hash_chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         for k in range(j - i):
@@ -103,5 +75,5 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     size = min(size, n)
     out = np.full(n - size + 1, size, U64)
     for k in range(size):
-        out = mix(out * U64(BASE) + hashes[k : n - size + 1 + k])
+        out = mix(out * GOLDEN + hashes[k : n - size + 1 + k])
     return out
