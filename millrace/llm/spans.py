@@ -2,60 +2,134 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, discard, only, stored
+from millrace.llm.common import only, small_batches, stored
+from millrace.llm.packed import GOLDEN, MIX1, Numbers, arrow_bytes, hashes, mix, padded
+from millrace.llm.wordhash import LOWERED, _chunks
 
 #: A sentence ends behind . ! ? or a line feed and takes the white space that follows; a token takes the white space around it.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 TOKEN, BARE = r"[ \t\r\n]*[^ \t\r\n]+[ \t\r\n]*", r"[^ \t\r\n]+"
 #: Sentences of more than LONG tokens are cut behind the greatest of any WINDOW consecutive ones; a run has at least MIN_TOKENS.
 LONG, WINDOW, MIN_TOKENS = 20, 16, 25
+FIND = re.compile(SENTENCE.encode())
+IS_BARE = ~np.isin(np.arange(256), np.frombuffer(b" \t\r\n", np.uint8))
+RUNS = "id long, th long, at int, k int, ha long, hb long"
+LEFT = "text string, n_sentences long, removed array<int>"
 
 
-def _pieces(sentence: Column) -> Column:
-    """A sentence as an array of (s: its piece, n: tokens, h: hash of the tokens with A-Z lower-cased).
+class Units(NamedTuple):
+    """The units of texts laid end to end."""
 
-    Up to LONG tokens it is one piece. A longer one is cut behind each token that is the greatest, by its text and then its
-    place, of some WINDOW consecutive tokens. Cuts depend on the tokens nearby alone, so text copied into the middle of a
-    sentence is cut as it was where it came from; and no piece has more than WINDOW tokens.
-    """
-    tokens, bare = F.regexp_extract_all(sentence, F.lit(TOKEN), F.lit(0)), F.regexp_extract_all(ascii_lower(sentence), F.lit(BARE), F.lit(0))
-    whole = lambda t: F.array(F.struct(sentence.alias("s"), F.greatest(F.size(t), F.lit(1)).alias("n"), F.xxhash64(F.array_join(t, " ")).alias("h")))
-
-    def cut(pair: Column) -> Column:
-        b, t = pair["b"], pair["t"]
-        placed = F.transform(b, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-        last = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(b) - (WINDOW - 1)), lambda k: F.array_max(F.slice(p, k, WINDOW))["i"]))
-        # Ends of pieces, counted from 1; the text's own end closes the last.
-        ends = F.transform(F.array(placed), lambda p: F.array_distinct(F.concat(F.transform(last(p), lambda i: i + 1), F.array(F.size(b)))))[0]
-        spans = lambda e: F.transform(e, lambda x, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(e, k - 1)).alias("a"), x.alias("z")))
-        part = lambda s, c: F.slice(c, s["a"] + 1, s["z"] - s["a"])
-        piece = lambda s: F.struct(F.array_join(part(s, t), "").alias("s"), (s["z"] - s["a"]).alias("n"), F.xxhash64(F.array_join(part(s, b), " ")).alias("h"))
-        return F.flatten(F.transform(F.array(ends), lambda e: F.transform(spans(e), piece)))
-
-    return F.flatten(F.transform(F.array(F.struct(bare.alias("b"), tokens.alias("t"))), lambda pair: F.when(F.size(pair["b"]) <= LONG, whole(pair["b"])).otherwise(cut(pair))))
-
-
-def units(text: Column) -> Column:
-    """A text as an array of (s, n, h): its sentences, long ones in pieces; joined, the s are the text."""
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), _pieces))
+    start: np.ndarray  # first byte
+    n: np.ndarray  # tokens, at least 1
+    first: np.ndarray  # number of its first token
+    tokens: np.ndarray  # tokens in truth: 0 or n
+    bounds: np.ndarray  # units of text i: bounds[i] to bounds[i + 1]
+    token_start: np.ndarray
+    token_size: np.ndarray
+    pad: np.ndarray  # the bytes, A-Z lower-cased
 
 
-def sentence_runs(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """A row per run (id, at, k, ha, hb): from each unit on the fewest units that hold ``min_tokens``; hb is a second hash.
+def units(data: np.ndarray, offsets: np.ndarray) -> Units:
+    """Sentences, and pieces of those with more than LONG tokens.
 
-    A unit has a token or more, so ``min_tokens`` units are enough to look at.
+    These are cut behind each token that is the greatest, by its bytes and then its place, of some WINDOW consecutive tokens. Cuts
+    depend on the tokens nearby alone, so text copied into the middle of a sentence is cut as it was where it came from; and
+    no piece has more than WINDOW tokens.
     """
-    # Tokens so far, times 64, plus units so far, in one number.
-    upto = lambda n, i: F.aggregate(F.slice(n, i + 1, min_tokens), F.lit(0), lambda acc, x: F.when(acc < min_tokens * 64, acc + x * 64 + 1).otherwise(acc))
-    lists = docs.select("id", units(F.col("text")).alias("_u")).select("id", F.transform("_u", lambda u: u["n"]).alias("_n"), F.transform("_u", lambda u: u["h"]).alias("_h"))
-    found = lists.select("id", "_h", F.transform("_n", lambda n, i: F.struct(i.alias("at"), upto(F.col("_n"), i).alias("w"))).alias("_r"))
-    # explode() would have Spark filter by the size of its list, which computes the list once more for each use of it.
-    rows = found.select("id", F.explode_outer(F.transform("_r", lambda r: F.struct(r["at"].alias("at"), r["w"].alias("w"), F.slice("_h", r["at"] + 1, F.pmod(r["w"], F.lit(64))).alias("hs")))).alias("r"))
-    rows = rows.filter(F.col("r.w") >= min_tokens * 64)
-    return rows.select("id", "r.at", F.pmod("r.w", F.lit(64)).alias("k"), F.xxhash64("r.hs").alias("ha"), F.hash("r.hs").alias("hb"))
+    raw = data.tobytes()
+    starts = [m.start() + a for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in FIND.finditer(raw[a:z])]
+    sentence = np.array(starts, np.int64)
+    lowered = LOWERED[data]
+    bare = IS_BARE[data]
+    begins, ends = bare.copy(), bare.copy()
+    begins[1:] &= ~bare[:-1]
+    ends[:-1] &= ~bare[1:]
+    begins[sentence] = bare[sentence]  # a sentence, and so a text, begins a token whatever stands before
+    ends[sentence[sentence > 0] - 1] = bare[sentence[sentence > 0] - 1]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(ends) + 1 - start
+    pad = padded(lowered)
+    upto = np.append(np.searchsorted(start, sentence), len(start))  # tokens before each sentence
+    count = np.diff(upto)
+    cut = np.zeros(len(start) + 1, bool)  # whether a unit ends before the token
+    if (long := np.flatnonzero(count > LONG)).size:
+        held = np.repeat(upto[long] - np.concatenate([[0], np.cumsum(count[long])[:-1]]), count[long]) + np.arange(count[long].sum())
+        strings: list[bytes] = []
+        number = Numbers(16).number(pad, start[held], size[held], strings.extend)
+        rank = np.empty(len(strings), np.int64)
+        rank[sorted(range(len(strings)), key=strings.__getitem__)] = np.arange(len(strings))
+        best = (rank[number] << 32) | np.arange(len(held))
+        for k in (1, 2, 4, 8):  # the greatest of 2, 4, 8 and 16 from each on
+            best = np.maximum(best[: len(best) - k], best[k:])
+        owner = np.repeat(np.arange(len(long)), count[long])
+        whole = owner[: len(best)] == owner[WINDOW - 1 :]
+        cut[held[(best & 0xFFFFFFFF)[whole]] + 1] = True
+    # A unit begins where a sentence does, or behind a cut within one; there, with its first token (white space before belongs to the token before).
+    inner = np.flatnonzero(cut[:-1])
+    inner = inner[~np.isin(inner, upto)]
+    at = np.concatenate([sentence, start[inner]])
+    first = np.concatenate([upto[:-1], inner])
+    order = np.argsort(at, kind="stable")
+    at, first = at[order], first[order]
+    tokens = np.diff(np.append(first, len(start)))
+    return Units(at, np.maximum(tokens, 1), first, tokens, np.searchsorted(at, offsets), start, size, pad)
+
+
+def _fold(values: np.ndarray, first: np.ndarray, n: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A hash of each list ``values[first:first + n]``."""
+    out = mix(n.astype(np.uint64) * GOLDEN + seed)
+    left, k = np.flatnonzero(n > 0), 0
+    while left.size:
+        out[left] = mix(out[left] * GOLDEN + values[first[left] + k])
+        k += 1
+        left = left[n[left] > k]
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[pa.RecordBatch]:
+    """From each unit on the fewest consecutive units of its text that hold ``min_tokens`` tokens."""
+    for batch in batches:
+        data, offsets = arrow_bytes(batch.column("text"))
+        for i, j in _chunks(offsets):
+            u = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            upto = np.concatenate([[0], np.cumsum(u.n)])
+            text = np.repeat(np.arange(j - i), np.diff(u.bounds))
+            end = np.searchsorted(upto, upto[:-1] + min_tokens)
+            own = np.flatnonzero(end <= u.bounds[text + 1])
+            word = hashes(u.pad, u.token_start, u.token_size)
+            columns = [batch.column(c).slice(i, j - i).take(pa.array(text[own])) for c in ("id", "th")]
+            columns += [pa.array((own - u.bounds[text[own]]).astype(np.int32)), pa.array((end - np.arange(len(end)))[own].astype(np.int32))]
+            for seed in (GOLDEN, MIX1):
+                unit = _fold(word, u.first, u.tokens, seed)
+                columns.append(pa.array(_fold(unit, own, (end - np.arange(len(end)))[own], seed).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "at", "k", "ha", "hb"])
+
+
+def _without(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+    """Texts without the units that any of their places covers."""
+    out = []
+    for text, held in zip(texts, places, strict=True):
+        raw = text.encode()
+        n, gone = sum(1 for _ in FIND.finditer(raw)), []
+        if held is not None and len(held):
+            gone = sorted({i for r in held for i in range(r["at"], r["at"] + r["k"])})
+            bounds = np.append(units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).start, len(raw)).tolist()
+            left = np.ones(len(bounds) - 1, bool)
+            left[gone] = False
+            text = b"".join(raw[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(left).tolist()).decode()
+        out.append((text, n, gone))
+    return pd.DataFrame(out, columns=["text", "n_sentences", "removed"])
 
 
 def dedup_spans(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = 2) -> DataFrame:
@@ -63,39 +137,33 @@ def dedup_spans(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = 2
 
     Units are sentences; those of more than LONG tokens are cut into pieces at places that depend on the text nearby alone. From
     each unit on, the fewest consecutive units that hold ``min_tokens`` tokens are a run (several: no unit holds as many). Runs
-    found in at least ``min_docs`` documents (1: repeats within one document too) keep their first place, the least (doc_id, unit
-    number); units that any other place covers are removed, all else stays as it was. Token ends are blanks, tabs and line ends;
-    A-Z count as a-z. A passage of over 50 words is met wherever it stands, even inside other sentences: its two ends lose
-    some 20 words at most to units that it shares with the text around.
-
-    Null and empty texts have no units. Texts with fewer tokens than a run are kept. A null doc_id comes before all others. Rows
-    that repeat a doc_id are one document in two copies: the second copy's runs stand at the same places, so both stay. Ties
-    of hashes have 96 bits. Very long texts are one row of units in their task and a row per run afterwards.
-    Extra columns pass through; those called text, n_sentences, n_removed or removed are replaced.
-
-    Plan: runs are made once and stored. Ids are grouped by the first hash with partial minima, and only what several documents
-    may hold goes on; its runs are joined back by hash, which Spark may split where a run is hot, and places join texts by row.
+    found in at least ``min_docs`` documents (1: repeats within one document too) keep their first place, the least (doc_id, hash of
+    the text, unit number); units that any other place covers are removed, all else stays as it was. Token ends are blanks, tabs and
+    line ends; A-Z count as a-z. A passage of over 50 words is met wherever it stands, even inside other sentences: its two
+    ends lose some 20 words at most to units that it shares with the text around.
+
+    Null and empty texts have no units. Texts with fewer tokens than a run are kept. A null doc_id comes before all others. Rows with
+    equal doc_id and text are one document in several copies: their runs stand at the same places, so all stay. Rows that repeat a
+    doc_id with another text are documents of their own. Ties of hashes have 128 bits. Very long texts are worked on whole, one at a time,
+    and give a row per run. Extra columns pass through; those called text, n_sentences, n_removed or removed are replaced.
+
+    Plan: runs are made once and stored. First places come from partial minima; those of repeated runs are stored too, so the join
+    that finds the others may broadcast them by their size, or be split where a run is hot. Places join texts by (doc_id, hash of the text).
     """
+    small_batches(docs.sparkSession)
     base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    runs = stored(sentence_runs(base.select(F.col("doc_id").cast("long").alias("id"), "text"), min_tokens), "runs")
-    if min_docs > 1:  # least and greatest pass over the null id, which is told apart
-        held = runs.groupBy("ha").agg(F.min("id").alias("_least"), F.max("id").alias("_most"), F.bool_or(F.col("id").isNull()).alias("_none"))
-        shared = held.filter("_least <> _most or _none and _least is not null").select("ha")
-    else:
-        shared = runs.groupBy("ha").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("ha")
-    several = stored(runs.join(shared, "ha"), "shared-runs")
-    discard(runs)
-    firsts = several.groupBy("ha", "hb").agg(F.min(F.struct("id", "at")).alias("_first"), F.max("id").alias("_most"), F.max(F.struct("id", "at")).alias("_last"), *([(F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("_docs")] if min_docs > 2 else []))
-    firsts = firsts.filter("not (_first <=> _last)" if min_docs < 2 else "not (_first.id <=> _most)" if min_docs == 2 else f"_docs >= {int(min_docs)}").select("ha", "hb", "_first")
-    later = several.join(firsts, ["ha", "hb"]).filter(~F.col("id").eqNullSafe(F.col("_first.id")) | (F.col("at") != F.col("_first.at")))
-    covered = later.groupBy(F.col("id").alias("__span_doc")).agg(F.collect_set(F.struct("at", "k")).alias("__span_at"))
-    joined = base.join(covered, F.col("doc_id").cast("long").eqNullSafe(F.col("__span_doc")), "left")
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("__span_at", F.array().cast("array<struct<at:int,k:int>>")), lambda r: F.sequence(r["at"], r["at"] + r["k"] - 1)))))
-    done = joined.withColumn("removed", gone).withColumn("n_sentences", F.size(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).cast("long")).withColumn("n_removed", F.size("removed").cast("long"))
-    # Units that stay are those whose number is not removed; both lists are in order.
-    stay = lambda u: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(u) - 1), F.col("removed")), lambda i: F.get(u, i)["s"]), "")
-    kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.transform(F.array(units(F.col("text"))), stay)[0])
-    return done.withColumn("text", kept).drop("__span_doc", "__span_at")
+    keyed = base.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    runs = stored(keyed.mapInArrow(lambda b: _runs(b, min_tokens), RUNS), "runs")
+    doc, place = F.struct("id", "th"), F.struct("id", "th", "at")
+    held = [F.min(place).alias("first"), F.min(doc).alias("least"), F.max(doc).alias("most"), F.max(place).alias("last")] + ([F.count_distinct(doc).alias("n")] if min_docs > 2 else [])
+    repeated = "not (first <=> last)" if min_docs < 2 else "not (least <=> most)" if min_docs == 2 else f"n >= {int(min_docs)}"
+    firsts = stored(runs.groupBy("ha", "hb").agg(*held).filter(repeated).select("ha", "hb", "first"), "first-runs")
+    later = runs.join(firsts, ["ha", "hb"]).filter(~place.eqNullSafe(F.col("first")))
+    covered = later.groupBy(F.col("id").alias("__span_id"), F.col("th").alias("__span_th")).agg(F.collect_set(F.struct("at", "k")).alias("__span_at"))
+    joined = base.join(covered, F.col("doc_id").cast("long").eqNullSafe(F.col("__span_id")) & (F.xxhash64("text") == F.col("__span_th")), "left")
+    done = joined.withColumn("__span_out", F.pandas_udf(_without, LEFT)("text", "__span_at"))
+    done = done.withColumn("text", F.col("__span_out.text")).withColumn("n_sentences", F.col("__span_out.n_sentences")).withColumn("removed", F.col("__span_out.removed"))
+    return done.withColumn("n_removed", F.size("removed").cast("long")).drop("__span_id", "__span_th", "__span_at", "__span_out")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -238,6 +238,29 @@ def test_the_least_id_is_no_null(spark):
         assert {r["doc_id"]: r["n_removed"] > 0 for r in spans.dedup_spans(pair).collect()} == {ids[0]: False, ids[1]: ids[0] != ids[1]}
 
 
+def test_spans_of_repeated_ids_with_other_texts(spark):
+    """A document is an id and a text: what one row of an id loses, no other row of it does, nor hides another's run."""
+    p, q = (". ".join(" ".join(f"{mark}{i}x{k}" for k in range(9)) for i in range(9)) + "." for mark in "pq")
+    docs = spark.createDataFrame([(1, p), (5, q), (5, p), (5, q), (6, f"{q} own"), (7, None), (7, p), (None, p), (None, "short")], "doc_id long, text string")
+    out = sorted(((r["doc_id"], r["n_removed"], r["text"]) for r in spans.dedup_spans(docs).collect()), key=repr)
+    assert out == sorted([(1, 9, ""), (5, 0, q), (5, 9, ""), (5, 0, q), (6, 9, "own"), (7, 0, ""), (7, 9, ""), (None, 0, p), (None, 0, "short")], key=repr)
+
+
+def test_units_are_brute_forces():
+    rng = np.random.default_rng(11)
+    texts = ["", " ", "\n", "a.\n .b", "a. \n.b", "a \n.b\n .c", "..", "end.Next one", " lead", "é" * 30 + ". É é", "x " * 19 + "y", "x " * 20 + "y", "same " * 60]
+    texts += ["".join(" ab.\n\t\r!?éA"[i] for i in rng.integers(0, 11, rng.integers(0, 300))) for _ in range(200)]
+    texts += [" ".join(f"w{i}" for i in rng.integers(0, 60, rng.integers(15, 90))) + ".!"[: rng.integers(0, 3)] for _ in range(60)]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    u = spans.units(np.frombuffer(data, np.uint8), offsets)
+    for i, text in enumerate(texts):
+        a, z = u.bounds[i], u.bounds[i + 1]
+        ends = [*u.start[a + 1 : z].tolist(), offsets[i + 1]]
+        got = [(data[s:e].decode(), int(n)) for s, e, n in zip(u.start[a:z].tolist(), ends, u.n[a:z].tolist(), strict=True)]
+        assert got == [(s, max(1, len(low))) for s, low in plain_units(text)], text
+
+
 def test_spans_catch_planted_passages_and_leave_stock_lines(spark):
     """Passages of 51 to 80 words put anywhere, into the middle of sentences too, of one sentence or many; stock lines of 12 words stay."""
     rng = np.random.default_rng(8)
