@@ -18,7 +18,7 @@ from millrace.llm.wordhash import LOWERED, _chunks
 
 LONGEST, MIN_COUNT, SCALE, COVERED_PERCENT, TOP = 4, 30, 2_000_000, 80, 2000
 #: Rows of the sketch, and cells of a row as powers of two: a cell for every CELL_BYTES of text within these bounds.
-DEPTH, LEAST_BITS, MOST_BITS, CELL_BYTES = 2, 16, 30, 4
+DEPTH, LEAST_BITS, MOST_BITS, CELL_BYTES = 2, 16, 30, 8
 #: Cells of a row that a task holds before it emits them.
 FLUSH = 1 << 22
 #: What parts words, and what parts pieces as well.
@@ -103,7 +103,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         yield flush()
 
 
-_NUMBERS = Numbers()
+_NUMBERS = Numbers(21)
 
 
 def _count(batches: Iterator[pa.RecordBatch], shared: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:

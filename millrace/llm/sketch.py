@@ -19,9 +19,8 @@ PART = "sketch_row int, block int, cells binary"
 
 
 def parts(cells: np.ndarray, sketch_row: int) -> list[tuple[int, int, bytes]]:
-    """The counts of unsorted ``cells`` as a row per block: gaps between cells of one or two bytes, and counts of one byte.
-
-    A gap too long for its width is bridged by entries of count 0. Counts end at 255: sums stay at least as large as any
+    """The counts of unsorted ``cells`` as a row per block: gaps between cells of one or two bytes, and counts of one byte,
+    compressed. A gap too long for its width is bridged by entries of count 0. Counts end at 255: sums stay at least as large as any
     threshold of that much.
     """
     if not len(cells):
@@ -41,7 +40,7 @@ def parts(cells: np.ndarray, sketch_row: int) -> list[tuple[int, int, bytes]]:
         at = np.cumsum(bridges) + np.arange(z - a)
         gaps, seen = np.full(at[-1] + 1, most, kind), np.zeros(at[-1] + 1, np.uint8)
         gaps[at], seen[at] = gap % most, counts[a:z]
-        out.append((sketch_row, int(blocks[a]), bytes([gaps.itemsize]) + gaps.tobytes() + seen.tobytes()))
+        out.append((sketch_row, int(blocks[a]), bytes([gaps.itemsize]) + len(gaps).to_bytes(4, "little") + pa.compress(gaps.tobytes() + seen.tobytes(), codec="zstd", asbytes=True)))
     return out
 
 
@@ -51,10 +50,10 @@ def part_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _add(total: np.ndarray, cells: bytes) -> None:
-    width = cells[0]
-    n = (len(cells) - 1) // (width + 1)
-    at = np.cumsum(np.frombuffer(cells, np.uint8 if width == 1 else "<u2", n, 1), dtype=np.int64)
-    seen = np.frombuffer(cells, np.uint8, n, 1 + n * width)
+    width, n = cells[0], int.from_bytes(cells[1:5], "little")
+    cells = pa.decompress(cells[5:], n * (width + 1), codec="zstd", asbytes=True)
+    at = np.cumsum(np.frombuffer(cells, np.uint8 if width == 1 else "<u2", n), dtype=np.int64)
+    seen = np.frombuffer(cells, np.uint8, n, n * width)
     total[at[seen > 0]] += seen[seen > 0]
 
 
