@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+from millrace.functions.recursion import band_sections, cascade
+
 
 def windows_of(y: np.ndarray, size: int, hop: int, center: bool = True) -> np.ndarray:
     """Overlapping frames; centred frames reach beyond the ends, where the signal is zero."""
@@ -99,27 +101,8 @@ def ambient_vector(y: np.ndarray, sr: int, n_mels: int = 40, n_fft: int = 1024,
 
 
 def band_pass(y: np.ndarray, low: float, high: float, order: int = 6) -> np.ndarray:
-    """Butterworth band-pass, causal; edges as shares of half the sampling rate. Designed from the analog prototype."""
-    warp = 4 * np.tan(np.pi * np.array([low, high]) / 2)
-    width, center = warp[1] - warp[0], math.sqrt(warp[0] * warp[1])
-    prototype = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order)) * width / 2
-    root = np.sqrt(prototype**2 - center**2)
-    poles = np.concatenate([prototype + root, prototype - root])
-    z = (4 + poles) / (4 - poles)
-    upper = sorted(z[z.imag > 0], key=abs)
-    middle = np.exp(1j * 2 * math.atan(center / 4))
-    out = y.astype(float)
-    for p in upper:  # a pair of poles, and a zero at either end of the band axis, scaled to 1 in mid-band
-        a1, a2 = -2 * p.real, abs(p) ** 2
-        gain = abs((middle**2 + a1 * middle + a2) / (middle**2 - 1))
-        s1 = s2 = 0.0
-        result = np.empty_like(out)
-        for i, x in enumerate((out * gain).tolist()):
-            v = x + s1
-            result[i] = v
-            s1, s2 = -a1 * v + s2, -x - a2 * v
-        out = result
-    return out
+    """Butterworth band-pass, causal; edges as shares of half the sampling rate."""
+    return cascade(band_sections(low, high, order)).run(y)[0]
 
 
 def hum_zero_crossings(y: np.ndarray, sr: int, nominal: float = 60.0, bandwidth: float = 1.5) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dsp
 from millrace.functions import text as T
+from millrace.sources.wav import mono
 
 #: Column names that mean a path, a label, segments, and a segment's start and end. Fixed values.
 PATH_NAMES = ("path", "utt", "utterance", "fname", "file", "audio", "relpath")
@@ -109,14 +110,7 @@ def decode_wav(content: bytes, target: int = 16000) -> np.ndarray:
     with wave.open(io.BytesIO(content)) as w:
         width, channels, sr = w.getsampwidth(), w.getnchannels(), w.getframerate()
         raw = w.readframes(w.getnframes())
-    if width == 1:
-        y = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
-    elif width == 3:
-        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        y = ((parts[:, 0] << 8 | parts[:, 1] << 16 | parts[:, 2] << 24) >> 8) / float(1 << 23)
-    else:
-        y = np.frombuffer(raw, f"<i{width}").astype(float) / float(1 << (8 * width - 1))
-    return dsp.normalize_peak(dsp.resample(y.reshape(-1, channels).mean(axis=1), sr, target))
+    return dsp.normalize_peak(dsp.resample(mono(raw, width, channels), sr, target))
 
 
 def load_audio(files: DataFrame, target: int = 16000) -> DataFrame:
