@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def per_series(key: str):
     return Window.partitionBy(key)
 
@@ -84,35 +85,106 @@ SAVGOL_5 = [-3 / 35, 12 / 35, 17 / 35, 12 / 35, -3 / 35]
 DELTA_9 = [k / 60 for k in range(-4, 5)]
 
 
-def interpolate_grid(df: DataFrame, key: str, t: str, value: str, step: int) -> DataFrame:
-    """Linear interpolation on multiples of ``step`` seconds between a series' first and last time: key, g, v.
+def neighbours(samples: DataFrame, grid: DataFrame, key: str, width: float) -> DataFrame:
+    """Grid points (key, x and more) with ``p`` and ``q``, the samples (x, v) at or before and at or after each; null where there is none.
 
-    Two-sided as-of by union and window: each grid point sees the sample before and after. Fewer than two samples: no values.
+    Two-sided as-of by union and window, in blocks of time ``width`` long: a window goes over a series' samples of one block, and
+    what lies beyond comes from the first and last samples of other blocks, so a hot series is spread over tasks.
     """
-    w = Window.partitionBy(key)
-    clean = df.filter(F.col(value).isNotNull()).groupBy(key, t).agg(F.min(value).alias(value))
-    ends = clean.groupBy(key).agg(F.ceil(F.min(t) / step).cast("long").alias("a"), F.floor(F.max(t) / step).cast("long").alias("b")).filter("a <= b")
-    grid = ends.select(key, F.explode(F.sequence("a", "b")).alias("g")).select(key, (F.col("g") * step).cast("double").alias("x"), F.col("g"))
-    both = clean.select(key, F.col(t).alias("x"), F.col(value).alias("v"), F.lit(None).cast("long").alias("g")).unionByName(grid.withColumn("v", F.lit(None).cast("double")))
+    block = F.floor(F.col("x") / width).alias("_b")
+    own = samples.select(key, "x", "v", block)
+    ends = own.groupBy(key, "_b").agg(F.min(F.struct("x", "v")).alias("_first"), F.max(F.struct("x", "v")).alias("_last"))
+    points = grid.select("*", block)
+    by = Window.partitionBy(key).orderBy("_b")  # over blocks, not samples
+    every = ends.join(points.select(key, "_b").distinct(), [key, "_b"], "full")
+    carried = every.select(
+        key, "_b",
+        F.last("_last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    row = F.struct(*[c for c in grid.columns if c not in (key, "x")]).alias("_grid")
+    both = points.select(key, "x", "_b", row).unionByName(own.select(key, "x", "_b", F.struct("x", "v").alias("_sample")), allowMissingColumns=True)
+    w, point = Window.partitionBy(key, "_b"), F.col("_grid").isNotNull()
     # Samples come before grid points of the same time, and also count as the ones after them.
-    sample = F.when(F.col("g").isNull(), F.struct("x", "v"))
-    before = F.last(sample, ignorenulls=True).over(w.orderBy("x", F.col("g").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(sample, ignorenulls=True).over(w.orderBy("x", F.col("g").isNull()).rowsBetween(0, Window.unboundedFollowing))
-    seen = both.withColumn("p", before).withColumn("q", after).filter("g IS NOT NULL AND p IS NOT NULL AND q IS NOT NULL")
+    before = F.last("_sample", ignorenulls=True).over(w.orderBy("x", point).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_sample", ignorenulls=True).over(w.orderBy("x", ~point).rowsBetween(0, Window.unboundedFollowing))
+    seen = both.withColumn("_p", before).withColumn("_q", after).filter(point).join(carried, [key, "_b"])
+    return seen.select(key, "x", "_grid.*", F.coalesce("_p", "_before").alias("p"), F.coalesce("_q", "_after").alias("q"))
+
+
+def _on_line() -> Column:
     slope = F.when(F.col("q.x") > F.col("p.x"), (F.col("q.v") - F.col("p.v")) / (F.col("q.x") - F.col("p.x"))).otherwise(F.lit(0.0))
-    return seen.select(key, "g", (F.col("p.v") + slope * (F.col("x") - F.col("p.x"))).alias("v"))
+    return F.col("p.v") + slope * (F.col("x") - F.col("p.x"))
+
+
+def _clean(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
+    """Samples (key, x, v) with a value; of those of one time the least."""
+    return df.filter(F.col(value).isNotNull() & F.col(t).isNotNull()).groupBy(key, F.col(t).cast("double").alias("x")).agg(F.min(value).alias("v"))
 
 
-def lagged_correlation(pairs: DataFrame, key: str, idx: str, x: str, y: str, max_lag: int) -> DataFrame:
+def interpolate_grid(df: DataFrame, key: str, t: str, value: str, step: int) -> DataFrame:
+    """Linear interpolation on multiples of ``step`` seconds between a series' first and last time: key, g, v.
+
+    Grids of several series share their points. A series whose times hold no multiple has no values.
+    """
+    clean = _clean(df, key, t, value)
+    ends = clean.groupBy(key).agg(F.ceil(F.min("x") / step).cast("long").alias("a"), F.floor(F.max("x") / step).cast("long").alias("b")).filter("a <= b")
+    grid = ends.select(key, F.explode(F.sequence("a", "b")).alias("g")).select(key, (F.col("g") * step).cast("double").alias("x"), "g")
+    return neighbours(clean, grid, key, 1024.0 * step).filter("p IS NOT NULL AND q IS NOT NULL").select(key, "g", _on_line().alias("v"))
+
+
+def interpolate_from(df: DataFrame, key: str, t: str, value: str, t0: float, t1: float, step: float) -> DataFrame:
+    """Linear interpolation of every series on one grid from ``t0`` to ``t1`` (with 1e-9 to spare), ``step`` seconds apart: key, g, x, v.
+
+    Points outside a series' times are NaN, and all are where it has fewer than two.
+    """
+    n = int(np.floor((t1 + 1e-9 - t0) / step)) + 1
+    clean = _clean(df, key, t, value)
+    grid = df.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("g") if n > 0 else F.explode(F.array().cast("array<bigint>")).alias("g"))
+    grid = grid.withColumn("x", F.lit(float(t0)) + F.col("g") * float(step))
+    # Fewer than two samples: there is none on one side of any point, or the same one on both.
+    alone = clean.groupBy(key).agg((F.count(F.lit(1)) < 2).alias("_alone"))
+    found = neighbours(clean, grid, key, 1024.0 * step).join(alone, key, "left")
+    inside = F.col("p").isNotNull() & F.col("q").isNotNull() & ~F.coalesce("_alone", F.lit(True))
+    return found.select(key, "g", "x", F.when(inside, _on_line()).otherwise(F.lit(float("nan"))).alias("v"))
+
+
+def lagged_correlation(pairs: DataFrame, key: str, idx: str, x: str, y: str, max_lag: int, block: int | None = None) -> DataFrame:
     """Correlation of x[i] with y[i + lag] for each lag up to ``max_lag`` either way: key, lag, n, r.
 
-    An equi-join on the shifted index; each lag is standardised over its own overlap, with 1e-9 added to both deviations.
+    Each lag is standardised over its own overlap, with 1e-9 added to both deviations. A series is cut into blocks of at least four
+    times the largest lag, each with the rows on either side that its lags reach: a row is sent twice at most, a block gives a
+    row of sums for each lag, and those are added up. Values are taken from the series' means, so sums of squares stay small.
     """
-    left = pairs.select(key, F.col(idx).alias("_i"), F.col(x).alias("_x")).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    right = pairs.select(key, F.col(idx).alias("_j"), F.col(y).alias("_y"))
-    joined = left.withColumn("_j", F.col("_i") + F.col("lag")).join(right, [key, "_j"])
-    r = F.covar_pop("_x", "_y") / ((F.stddev_pop("_x") + 1e-9) * (F.stddev_pop("_y") + 1e-9))
-    return joined.groupBy(key, "lag").agg(F.count(F.lit(1)).alias("n"), r.alias("r")).filter("n >= 2")
+    size = block or max(1024, 4 * max_lag)
+    kind = dict(pairs.dtypes)[key]
+    lags = np.arange(-max_lag, max_lag + 1)
+
+    def sums(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(group[1]) * size - max_lag
+        u, v = np.full(size + 2 * max_lag, np.nan), np.full(size + 2 * max_lag, np.nan)
+        at = pdf["_i"].to_numpy() - first
+        u[at], v[at] = pdf["_x"], pdf["_y"]
+        own, rows = u[max_lag : max_lag + size], []
+        for lag in lags.tolist():
+            other = v[max_lag + lag : max_lag + lag + size]
+            met = ~(np.isnan(own) | np.isnan(other))
+            a, b = own[met], other[met]
+            if len(a):
+                rows.append((lag, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b))
+        out = pd.DataFrame(rows, columns=["lag", "n", "sx", "sy", "sxx", "syy", "sxy"])
+        out.insert(0, key, pd.Series([group[0]] * len(out), dtype=object))
+        return out
+
+    means = pairs.groupBy(key).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    i = F.col(idx).cast("long")
+    rows = pairs.join(means, key).select(key, i.alias("_i"), (F.col(x) - F.col("_mx")).alias("_x"), (F.col(y) - F.col("_my")).alias("_y"))
+    dealt = rows.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_i") - max_lag) / size), F.floor((F.col("_i") + max_lag) / size))))
+    parts = dealt.groupBy(key, "_b").applyInPandas(sums, f"`{key}` {kind}, lag int, n long, sx double, sy double, sxx double, syy double, sxy double")
+    whole = parts.groupBy(key, "lag").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).filter("n >= 2")
+    spread = lambda squares, total: F.sqrt(F.greatest(F.lit(0.0), F.col(squares) / F.col("n") - (F.col(total) / F.col("n")) ** 2)) + 1e-9
+    r = (F.col("sxy") / F.col("n") - F.col("sx") / F.col("n") * F.col("sy") / F.col("n")) / (spread("sxx", "sx") * spread("syy", "sy"))
+    return whole.select(key, "lag", "n", r.alias("r"))
 
 
 def best_lag(correlations: DataFrame, key: str) -> DataFrame:

@@ -247,6 +247,24 @@ def grid_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridded(spark, sf_dir).select("user_id", "g", r6("v", "v"))
 
 
+FROM_START = SERIES + """, c AS (SELECT user_id, t, min(value) AS v FROM s WHERE value IS NOT NULL GROUP BY ALL),
+ e AS (SELECT min(t) AS t0, max(t) AS t1 FROM s),
+ g AS (SELECT user_id, g, t0 + g * 43200.5 AS x FROM (SELECT DISTINCT user_id FROM s), e, (SELECT unnest(range(CAST(floor((t1 + 1e-9 - t0) / 43200.5) AS BIGINT) + 1)) AS g FROM e)),
+ a AS (SELECT g.*, c.t AS pt, c.v AS pv FROM g ASOF LEFT JOIN c ON g.user_id = c.user_id AND g.x >= c.t),
+ b AS (SELECT a.*, c.t AS qt, c.v AS qv FROM a ASOF LEFT JOIN c ON a.user_id = c.user_id AND a.x <= c.t),
+ k AS (SELECT user_id, count(*) AS n FROM c GROUP BY user_id)
+SELECT user_id, g, CASE WHEN pt IS NOT NULL AND qt IS NOT NULL AND n > 1 THEN round(pv + CASE WHEN qt > pt THEN (qv - pv) / (qt - pt) ELSE 0 END * (x - pt), 6) END::DOUBLE AS v FROM b LEFT JOIN k USING (user_id)"""
+
+
+@query(FROM_START)
+def grid_from_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's values on one grid over all events' times; what no number stands for is null here."""
+    df = events(spark, sf_dir)
+    ends = df.agg(F.min("t").alias("a"), F.max("t").alias("z")).first()
+    out = S.interpolate_from(df, "user_id", "t", "value", ends["a"], ends["z"], 43200.5)
+    return out.select("user_id", "g", F.when(~F.isnan("v"), F.round("v", 6)).alias("v"))
+
+
 PAIRS = GRID + ", p AS (SELECT a.user_id, a.g, a.v AS x, b.v AS y FROM i a JOIN i b ON b.user_id = a.user_id + 1 AND a.g = b.g WHERE a.user_id % 2 = 0) "
 
 
