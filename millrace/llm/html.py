@@ -89,10 +89,19 @@ class Node:
         self.parts: list[int] = []  # numbers of the runs of text that it holds itself
 
 
+def highest(places: list[int] | None) -> int:
+    return places[-1] if places else -1
+
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order (parents first) and runs of text, each with its node. Inline elements belong to their block."""
     nodes, runs = [Node("html", -1, TAG_KIND.get("html", 16), [])], []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with the block it is in
+    # Places in the stack: of each name, of blocks other than p, of fences. So no tag, whatever it closes, walks the stack.
+    opened: dict[str, list[int]] = {}
+    walls: list[int] = []
+    fences: list[int] = []
     buffer: list[str] = []
     links = dropped = 0
     loose: list[int] = []  # places in the stack of dropped elements without an end tag
@@ -118,10 +127,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         for tag, _ in stack[index:]:
             links -= tag == "a"
             dropped -= tag in DROPPED
+            opened[tag].pop()
         del stack[index:]
+        for held in (walls, fences):
+            while held and held[-1] >= index:
+                held.pop()
         while loose and loose[-1] >= index:
             loose.pop()
 
+    def push(tag: str, block: int) -> None:
+        at = len(stack)
+        opened.setdefault(tag, []).append(at)
+        if tag in BLOCK and tag != "p":
+            walls.append(at)
+        if tag in FENCES:
+            fences.append(at)
+        stack.append((tag, block))
+
     last, last_cdata, quoted = page.rfind(">"), page.rfind("]]>"), True
     while at < size:
         start = page.find("<", at)
@@ -152,12 +174,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = name.lower()
         if match[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK and tag not in DROPPED:
-                    break  # an inline end tag does not end blocks
+            k = highest(opened.get(tag))
+            # An inline end tag does not end blocks.
+            if k > 0 and (tag in BLOCK or tag in DROPPED or k > max(highest(walls), highest(opened.get("p")))):
+                close(k)
             continue
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             close(len(stack) - 1)
@@ -175,13 +195,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in BLOCK:
             wanted = ENDS.get(tag)
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = stack[k][0]
-                if open_tag == "p" or wanted and open_tag in wanted:
-                    close(k)
-                    if open_tag != "p":
-                        break
-                elif open_tag in FENCES or open_tag in BLOCK and not wanted:
+            while True:
+                k = max(highest(opened.get(t)) for t in ("p", *(wanted or ())))
+                if k <= 0 or k < highest(fences if wanted else walls):
+                    break
+                ended_tag = stack[k][0]
+                close(k)
+                if ended_tag != "p":
                     break
             flush()
             written = match[3]
@@ -195,10 +215,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parent = stack[-1][1]
             node = Node(tag, parent, TAG_KIND.get(tag, 16), [*hints, N_HINTS] if hidden else hints)
             nodes[parent].children.append(len(nodes))
-            stack.append((tag, len(nodes)))
+            push(tag, len(nodes))
             nodes.append(node)
         else:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             links += tag == "a"
         if tag in DROPPED:
             dropped += 1

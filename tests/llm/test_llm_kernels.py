@@ -262,3 +262,14 @@ def test_quotes_in_tags():
     assert texts("<p title=\"a > b\">One.</p><p title='>'>Two.</p>") == ["One.", "Two."]
     assert texts("<p>1 < 2 and <3</p><p title=\"a > b\">Two.</p>") == ["1 < 2 and <3", "Two."]
     assert texts("<p title=\"open>One.</p><p>Two.</p>") == ["One.", "Two."]
+
+
+def test_tags_that_match_nothing_take_linear_time():
+    """A megabyte of open inline elements, end tags without a start, blocks within blocks and items without a list."""
+    import time
+
+    n = 100_000
+    began = time.process_time()
+    for page in ("<span>" * n + "</b>" * n, "<b><div>" + "<span>" * n + "</b>" * n, "<div>" * n + "<li>x</li>" * n, "<p><i>" * n + "</u>" * n, "<div>" * n + "</span>" * n + "<p>" * n):
+        html.parse(page)
+    assert time.process_time() - began < 40

@@ -364,6 +364,28 @@ def test_decontamination_in_blocks_keeps_rows(spark, monkeypatch):
     assert rows() == whole and len(whole) == 7
 
 
+def test_common_items_do_not_multiply_a_common_word(spark, monkeypatch):
+    """A thousand words that two thousand items ask for: a row for each word and one for each item, not for each pair."""
+    items = spark.createDataFrame([(k, "Yes!") for k in range(2000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes " * 1000), (2, "no")], "doc_id long, text string")
+    row = decontam.find_windows(docs, items).filter("doc_id = 1").first()
+    assert len(row["hits"]) == 1000 and [len(w["item_ids"]) for w in row["windows"]] == [2000]
+    out = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.decontaminate(docs, items).collect()}
+    assert out == {1: (1000, 2000), 2: (0, 0)}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3000)
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.decontaminate(docs, items).collect()} == out
+
+
+def test_blocks_of_items_are_scanned_one_after_the_other(spark, monkeypatch):
+    """A plan never holds more than one block's Python step."""
+    items = spark.createDataFrame([(k, f"gamma item{k}") for k in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"alpha beta gamma item{k} delta") for k in range(12)], "doc_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 20)
+    clean = decontam.drop_contaminated(docs, items)
+    assert {r["doc_id"] for r in clean.collect()} == {8, 9, 10, 11}
+    assert clean._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
+
+
 def test_records_round_trip(spark, odd_docs, no_docs):
     manifest, folder = records.write_records(odd_docs)
     back = records.read_records(manifest, folder).collect()
@@ -456,6 +478,22 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count() and not any(r["predicted"] for r in odd) and toxicity.digest(no_docs, labels).count() == 0
 
 
+def test_scores_change_a_little_with_every_row(spark):
+    """No least number of rows: from none over 40 to 60 the score of a text moves in small steps."""
+    rng = np.random.default_rng(16)
+    rows = [(3 * i, " ".join(["grunzfeld" if i % 4 == 0 and k < 3 else f"word{rng.integers(300)}" for k in range(50)])) for i in range(120)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = [(d, int("grunzfeld" in t)) for d, t in rows]
+    probe = spark.createDataFrame([(1, "a grunzfeld here and a grunzfeld there, grunzfeld"), (2, "plain words alone")], "doc_id long, text string")
+    got = []
+    for n in (0, 44, 47, 50, 53, 56):
+        model = toxicity.fit(docs, spark.createDataFrame(marked[:n], "doc_id long, toxic int"))
+        got.append([r["score"] for r in toxicity.score(probe, model).orderBy("doc_id").collect()])
+    got = np.array(got)
+    assert np.abs(np.diff(got[1:], axis=0)).max() < 0.2 and (got[:, 1] < 0.2).all() and (got[1:, 0] > got[1:, 1]).all(), got
+
+
 def test_scores_do_not_hang_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
