@@ -170,14 +170,22 @@ def _design(votes: np.ndarray, extra: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(votes), 1)), votes == TOXIC, votes == CLEAN, extra]).astype(float)
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method; the constant is not penalised."""
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
-    ridge[0] = 1e-6
+def seed_weights(voters: Voters) -> np.ndarray:
+    """What is held before any row is seen: few texts are toxic, and a seed lexicon's vote tells one."""
+    weights = np.zeros(1 + 2 * len(voters.names) + 3)
+    weights[0], weights[[1 + k for k, name in enumerate(voters.names) if name.startswith("seed")]] = -3.0, 4.0
+    return weights
+
+
+def fit_linear(x: np.ndarray, target: np.ndarray, prior: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels by Newton's method, drawn to the weights ``prior``: without rows they stay, a few move
+    them a little, many leave little of them."""
+    if not len(x):
+        return prior
+    w = np.zeros(len(prior))  # Newton's steps are safe from here, not from weights that leave p at its ends
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (target - p) - ridge * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (target - p) - penalty * (w - prior))
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -265,20 +273,16 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
     """Voters, label model and classifier. Labels choose the terms that vote, and are a voter of their own; the classifier
-    learns from the label model's posteriors, not from labels."""
+    learns from the label model's posteriors, not from labels, and from the seeds where rows are few: there is no least number of them."""
     small_batches(docs.sparkSession)
     rows = stored(apart(training_rows(docs, labels, max_rows)), "toxicity-sample")
     voters = mine_voters(rows)
     # Votes of max_rows rows at most.
     got = rows.mapInArrow(lambda b: _vote(b, voters), "votes binary, extra array<double>, toxic int").collect()
     width = len(voters.names)
-    if len(got) < 50 or not voters.terms:  # too little to learn from: the seeds alone count
-        weights = np.zeros(1 + 2 * width + 3)
-        weights[0], weights[[1 + k for k, name in enumerate(voters.names) if name.startswith("seed")]] = -3.0, 4.0
-        return Model(voters, weights)
     votes = np.frombuffer(b"".join(r["votes"] for r in got), np.int8).reshape(-1, width)
-    _, posterior = fit_label_model(votes, np.array([r["toxic"] for r in got]))
-    return Model(voters, fit_linear(_design(votes, np.array([r["extra"] for r in got])), posterior))
+    posterior = fit_label_model(votes, np.array([r["toxic"] for r in got]))[1] if len(got) else np.zeros(0)
+    return Model(voters, fit_linear(_design(votes, np.array([r["extra"] for r in got]).reshape(-1, 3)), posterior, seed_weights(voters)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
