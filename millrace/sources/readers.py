@@ -53,7 +53,7 @@ def row_segments(df: DataFrame) -> Column:
         ways.insert(0, F.when(a.isNotNull() & b.isNotNull(), F.array(F.struct(F.least(a, b).alias("s"), F.greatest(a, b).alias("e")))))
     for cell in reversed(_named(df, SEGMENT_NAMES)):
         parts = F.filter(F.split(cell, "[;|]"), lambda x: F.trim(x) != "")
-        ways.insert(0, T.segments(F.array_join(parts, " "), parts))
+        ways.insert(0, T.segments(F.array_join(parts, ";"), parts))
     return T.milliseconds_to_seconds(T.first_segments(*ways))
 
 
@@ -73,7 +73,7 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """(token, label, segs) of free-form text lines; blank lines, comments and lines of one field go."""
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)")).select(T.split_fields(F.trim("value")).alias("f")).filter(F.size("f") >= 2)
     rest = F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0)))
-    segs = T.milliseconds_to_seconds(T.segments(F.array_join(rest, " "), rest))
+    segs = T.milliseconds_to_seconds(T.segments(F.array_join(rest, ";"), rest))
     return lines.select(F.get("f", 0).alias("token"), T.normalize_label(F.get("f", 1)).alias("label"), segs.alias("segs"))
 
 

@@ -200,3 +200,13 @@ def test_tokens_with_folders_and_last_columns(spark):
     assert got == {"y/a.wav": "/d/train/y/a.wav", "a": "/d/train/x/a.wav", "z/b.flac": "/d/z/b.flac"}  # the last under the folder above; b.mp3 is no stem of a file
     clips, _ = composed.build_manifests(entries, files, folders={"train": "/d/train", "dev": "/d/dev"})
     assert sorted((r["subset"], r["path"]) for r in clips.collect()) == [("dev", "/d/dev/c.wav"), ("train", "/d/train/x/a.wav"), ("train", "/d/train/y/a.wav"), ("train", "/d/z/b.flac")]
+
+
+def test_parts_of_a_cell_do_not_run_together(spark, tmp_path):
+    """A span stands within one part of a cell or field: 10;-20 and 1.5|:3 are none."""
+    df = spark.createDataFrame([("a", "10;-20"), ("b", "1.5|:3"), ("c", "1-2;3-4")], "path string, segments string")
+    got = {r["path"]: [tuple(x) for x in r["segs"]] for r in readers.protocol(df).select("path", "segs").collect()}
+    assert got["c"] == [(1.0, 2.0), (3.0, 4.0)] and (10.0, 20.0) not in got["a"] and (1.5, 3.0) not in got["b"]
+    (tmp_path / "lines.txt").write_text("clip fake 1-2 3-4\nother fake 10 -20\n")
+    lines = {r["token"]: [tuple(x) for x in r["segs"]] for r in readers.label_lines(spark, str(tmp_path / "lines.txt")).collect()}
+    assert lines["clip"] == [(1.0, 2.0), (3.0, 4.0)] and (10.0, 20.0) not in lines["other"]
