@@ -120,13 +120,9 @@ def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """A bounded stream run to its end; its rows from the sink's table."""
-    spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-stream-')}"
-    name = f"millrace_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder.rstrip('/')}/streams/{name}")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """A bounded stream run to its end, in a folder of its own."""
+    folder = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-stream-')}"
+    return jobs.drain(stream, mode, f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +132,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drained(jobs.window_counts(stream, "ts", "event_type"), "update").groupBy("w", "event_type").agg(F.max("n").alias("n"))
+    return _drained(jobs.window_counts(stream, "ts", "event_type"), "update").groupBy(F.col("w").cast("timestamp_ntz").alias("w"), "event_type").agg(F.max("n").alias("n"))
+
+
+ORACLES["stream_window_counts"] = "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS w, event_type, count(*) AS n FROM events GROUP BY ALL"
 
 
 @query
 def stream_merge_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = event_stream(spark, sf_dir).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return _drained(jobs.merge_close_stream(stream, "user_id", "t", 86400.0), "append")
+    return _drained(jobs.merge_close_stream(stream, "user_id", "t", 86400.0), "append").filter("NOT late").select("user_id", F.round("kept", 3).alias("kept"))
+
+
+ORACLES["stream_merge_close"] = """WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rk FROM events),
+     f AS (SELECT user_id, rk, t AS kept FROM s WHERE rk = 1 UNION ALL SELECT s.user_id, s.rk, CASE WHEN s.t - f.kept >= 86400 THEN s.t ELSE f.kept END FROM f JOIN s ON s.user_id = f.user_id AND s.rk = f.rk + 1)
+SELECT DISTINCT user_id, round(kept, 3)::DOUBLE AS kept FROM f"""
 
 
 @query

@@ -28,19 +28,39 @@ def extract_stream(clips: DataFrame, configs: list, out: str, checkpoint: str):
 
 
 def merge_close_stream(events: DataFrame, key: str, t: str, gap: float) -> DataFrame:
-    """Times that are at least ``gap`` after the last kept one of their key; the state of a key is that time alone. Times of a batch are sorted first."""
+    """(key, kept, late): times that are at least ``gap`` after the last kept one of their key; the state of a key is that time alone.
+
+    Times of a batch are sorted first. A time ahead of one that an earlier batch kept can change nothing any more: it comes out
+    with ``late`` set, and is for the caller to store apart. Null times do not count.
+    """
     kind = dict(events.dtypes)[key]
 
     def keep(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else float("-inf")
+        last = before = state.get[0] if state.exists else float("-inf")
         kept = []
         for x in sorted(x for f in frames for x in f[t]):
-            if x - last >= gap:
-                kept.append(x)
-                last = x
+            if x < before or x - last >= gap:
+                kept.append((group[0], x, x < before))
+                last = max(last, x)
         if last > float("-inf"):
             state.update((last,))
         if kept:
-            yield pd.DataFrame({key: [group[0]] * len(kept), "kept": kept})
+            yield pd.DataFrame(kept, columns=[key, "kept", "late"])
+
+    named = events.filter(F.col(t).isNotNull()).select(key, t).groupBy(key)
+    return named.applyInPandasWithState(keep, f"{key} {kind}, kept double, late boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """A bounded stream run to its end; what its batches gave, read back from ``folder`` with the column ``batch``.
+
+    A batch is written as Parquet under its number and overwritten if it is run again, so each counts once. Nothing passes through the driver.
+    """
+    spark, out = stream.sparkSession, f"{folder.rstrip('/')}/out"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # a stream without rows has a table too
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return events.select(key, t).groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, kept double", "last double", "append", GroupStateTimeout.NoTimeout)
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder.rstrip('/')}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
