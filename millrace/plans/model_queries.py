@@ -141,7 +141,7 @@ ORACLES["stream_window_counts"] = "SELECT time_bucket(INTERVAL '6 hours', ts, TI
 @query
 def stream_merge_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = event_stream(spark, sf_dir).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return _drained(jobs.merge_close_stream(stream, "user_id", "t", 86400.0), "append").filter("NOT late").select("user_id", F.round("kept", 3).alias("kept"))
+    return _drained(jobs.merge_close_stream(stream, "user_id", "t", 86400.0), "append").select("user_id", F.round("kept", 3).alias("kept"))
 
 
 ORACLES["stream_merge_close"] = """WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rk FROM events),

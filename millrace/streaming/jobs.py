@@ -27,11 +27,11 @@ def extract_stream(clips: DataFrame, configs: list, out: str, checkpoint: str):
     return extract_features(clips, configs).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("cfg_hash").trigger(availableNow=True).start()
 
 
-def merge_close_stream(events: DataFrame, key: str, t: str, gap: float) -> DataFrame:
-    """(key, kept, late): times that are at least ``gap`` after the last kept one of their key; the state of a key is that time alone.
+def merge_close_stream(events: DataFrame, key: str, t: str, gap: float, with_late: bool = False) -> DataFrame:
+    """(key, kept): times that are at least ``gap`` after the last kept one of their key; the state of a key is that time alone.
 
-    Times of a batch are sorted first. A time ahead of one that an earlier batch kept can change nothing any more: it comes out
-    with ``late`` set, and is for the caller to store apart. Null times do not count.
+    Times of a batch are sorted first. A time ahead of one that an earlier batch kept can change nothing any more: it goes, or
+    with ``with_late`` comes out with a further column ``late`` set, for the caller to store apart. Null times do not count.
     """
     kind = dict(events.dtypes)[key]
 
@@ -48,7 +48,8 @@ def merge_close_stream(events: DataFrame, key: str, t: str, gap: float) -> DataF
             yield pd.DataFrame(kept, columns=[key, "kept", "late"])
 
     named = events.filter(F.col(t).isNotNull()).select(key, t).groupBy(key)
-    return named.applyInPandasWithState(keep, f"{key} {kind}, kept double, late boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+    out = named.applyInPandasWithState(keep, f"{key} {kind}, kept double, late boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+    return out if with_late else out.filter("NOT late").drop("late")
 
 
 def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:

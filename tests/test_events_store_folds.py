@@ -177,7 +177,7 @@ def test_streams_end_in_a_table_with_late_rows_apart(spark, tmp_path):
     for rows in ([("a", 1.0), ("a", 2.0), ("b", 9.0), ("b", None)], [("a", 0.5), ("a", 2.5), ("a", 3.0), ("c", 1.0)]):
         spark.createDataFrame(rows, "k string, t double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = jobs.read_stream(spark, str(tmp_path / "in"), "*.parquet", "k string, t double")
-    out = jobs.drain(jobs.merge_close_stream(stream, "k", "t", 1.5), "append", f"file://{tmp_path}/run")
+    out = jobs.drain(jobs.merge_close_stream(stream, "k", "t", 1.5, with_late=True), "append", f"file://{tmp_path}/run")
     assert sorted((r["k"], r["kept"], r["late"]) for r in out.collect()) == [("a", 0.5, True), ("a", 1.0, False), ("a", 2.5, False), ("b", 9.0, False), ("c", 1.0, False)]
     (tmp_path / "none").mkdir()
     empty = jobs.read_stream(spark, str(tmp_path / "none"), "*.parquet", "k string, t double")
