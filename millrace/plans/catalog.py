@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import audio_queries, event_queries, metric_queries, model_queries, series_queries, text_queries
+from millrace.plans import audio_queries, dataset_queries, event_queries, metric_queries, model_queries, series_queries, text_queries
 
-MODULES = (series_queries, text_queries, metric_queries, audio_queries, event_queries, model_queries)
+MODULES = (series_queries, text_queries, metric_queries, audio_queries, event_queries, dataset_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
