@@ -12,6 +12,12 @@ ROW = "map<string,string>"
 SEGS = "array<struct<s:double,e:double>>"
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Selects columns through a generator of one row, so that filters which Spark derives above it do not carry copies of their
+    expressions below: an explode of spans would else parse each line hundreds of times."""
+    return df.select(F.inline_outer(F.array(F.struct(*columns))))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of every file below a folder; no content is read. As Spark lists them: neither empty files nor those whose name
     or folder starts with _ or a dot. Paths are written as in ``file`` below, ``file:/`` for local ones."""
@@ -51,7 +57,7 @@ def tables(spark: SparkSession, root: str) -> DataFrame:
     # The last entry of a name would count: reversed, it is the first.
     pairs = F.filter(F.arrays_zip(F.col("names").alias("n"), F.col("_fields").alias("v")), lambda x: x["n"].isNotNull())
     firsts = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["n"]), x["n"]) == i + 1)
-    return placed.select("file", F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["n"], F.coalesce(x["v"], F.lit(""))))).alias("row"))
+    return _once(placed, F.col("file"), F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["n"], F.coalesce(x["v"], F.lit(""))))).alias("row"))
 
 
 def json_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -64,7 +70,7 @@ def json_rows(spark: SparkSession, root: str) -> DataFrame:
     held = [F.when(F.size(wrapped[n]) > 0, wrapped[n]) for n in ("items", "data", "entries")]
     items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.coalesce(*held, F.array("value")))
     objects = text.select("file", F.explode(items).alias("item")).filter(F.ltrim("item").startswith("{"))
-    return objects.select("file", F.transform_keys(F.from_json("item", ROW), lambda k, _: F.lower(k)).alias("row")).filter("row IS NOT NULL")
+    return _once(objects, F.col("file"), F.transform_keys(F.from_json("item", ROW), lambda k, _: F.lower(k)).alias("row")).filter("row IS NOT NULL")
 
 
 def field_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -115,14 +121,14 @@ def row_entries(rows: DataFrame) -> DataFrame:
     row = F.col("row")
     token = F.coalesce(_first(row, (*PATH_NAMES, "id")), F.get(F.map_values(row), F.lit(0)), F.lit(""))
     label = T.normalize_label(F.coalesce(_first(row, LABEL_NAMES), F.array_join(F.map_values(row), " ")))
-    return rows.select("file", token.alias("token"), F.lit(None).cast("string").alias("last"), label.alias("label"), row_spans(row).alias("segs"))
+    return _once(rows, F.col("file"), token.alias("token"), F.lit(None).cast("string").alias("last"), label.alias("label"), row_spans(row).alias("segs"))
 
 
 def line_entries(lines: DataFrame) -> DataFrame:
     """(file, token, last, label, segs) of lines (file, fields): first field, last field, label by the second, spans by the rest."""
     rest = F.slice("fields", F.lit(3), F.greatest(F.size("fields") - 2, F.lit(0)))
     segs = T.milliseconds_to_seconds(T.segments(F.array_join(rest, ";"), rest))
-    return lines.select("file", F.get("fields", 0).alias("token"), F.element_at("fields", -1).alias("last"), T.normalize_label(F.get("fields", 1)).alias("label"), segs.alias("segs"))
+    return _once(lines, F.col("file"), F.get("fields", 0).alias("token"), F.element_at("fields", -1).alias("last"), T.normalize_label(F.get("fields", 1)).alias("label"), segs.alias("segs"))
 
 
 def entries(spark: SparkSession, root: str) -> DataFrame:
