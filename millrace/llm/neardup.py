@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, discard, only, small_batches, stored
@@ -19,6 +19,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 #: A bucket with more members left than this is dealt anew by the registers of its next band; a smaller one keeps its key.
 SMALL = 8
+#: Nodes of one label and element that a row lists.
+BLOCK = 1024
 
 
 def weighted_shingles(hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +139,44 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, counted: bool) -
     return pairs.join(side("a", ""), "a").join(side("b", "_b"), "b").mapInArrow(lambda x: _compare(x, threshold, counted), "a long, b long, linked boolean")
 
 
+def _elements(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each element of a set with its share of the set's weight; of a few sets at a time."""
+    for batch in batches:
+        for node, label, elements, counts in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "shingles", "counts")), strict=True):
+            e = np.frombuffer(elements, np.int64)
+            w = np.frombuffer(counts, np.int32) if counted and counts else np.ones(len(e), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), node)), pa.array(np.full(len(e), label)), pa.array(e), pa.array(w / w.sum())], ["node", "label", "element", "share"])
+
+
+def _rest_pairs(left: DataFrame, sets: DataFrame, threshold: float, counted: bool) -> DataFrame:
+    """All pairs (a, b) of nodes ``left`` (node, label) of different labels that can reach ``threshold``: exact, without buckets.
+
+    The probability Jaccard of two sets is at most the sum over their elements of the lesser share of either's weight (for plain
+    sets: common elements over the larger size). With elements in one order for all, rarest first, a set begins with those from
+    which on ``threshold`` of its weight is left: of two sets that are alike enough, one that begins later has all common elements of the
+    other's beginning in its own, and what lies behind either beginning is too little. So they share an element of both beginnings.
+    Common elements come last, so a passage or frame of many texts makes no pairs. Members of one label are listed in blocks and not paired.
+    """
+    rows = left.join(sets, "node").mapInArrow(lambda x: _elements(x, counted), "node long, label long, element long, share double")
+    rows = stored(rows, "elements")
+    often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+    before = Window.partitionBy("node").orderBy("often", "element").rowsBetween(Window.unboundedPreceding, -1)
+    begins = rows.join(often, "element").withColumn("_from", 1 - F.coalesce(F.sum("share").over(before), F.lit(0.0))).filter(F.col("_from") >= threshold - 1e-9)
+    begins = begins.filter("often > 1").select("element", "label", "node", "share")
+    numbered = begins.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("element", "label").orderBy("node")) - 1) / BLOCK))
+    blocks = stored(numbered.groupBy("element", "label", "_block").agg(F.collect_list(F.struct("node", "share")).alias("held")), "blocks")
+    several = blocks.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    blocks = blocks.join(several.select("element"), "element", "left_semi").select("element", "label", "held")
+    both = blocks.join(blocks.select("element", F.col("label").alias("label_b"), F.col("held").alias("held_b")), "element").filter("label < label_b")
+    pairs = both.select(F.explode("held").alias("p"), "held_b").select("p", F.explode("held_b").alias("q"))
+    met = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), (1 / F.col("p.share")).alias("m"), (1 / F.col("q.share")).alias("n"))
+    if counted:
+        return met.select("a", "b").distinct()
+    # Sizes alone, then: what is common is the common part of the beginnings and at most what lies behind one of them.
+    met = met.filter(F.least("m", "n") >= F.greatest("m", "n") * (threshold - 1e-9)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
+    return met.filter(F.col("c") + threshold * F.greatest("m", "n") >= threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
+
+
 def _forest_links(members: DataFrame, bands: DataFrame, sets: DataFrame, threshold: float, counted: bool) -> DataFrame:
     """Links (a, b) between nodes, enough to join the groups that buckets show.
 
@@ -146,8 +186,8 @@ def _forest_links(members: DataFrame, bands: DataFrame, sets: DataFrame, thresho
     text. The leader leaves the bucket, which is done with if those left are one group. Other buckets of more than SMALL
     members are dealt anew by their next band's key too, so that members meet others ever nearer to them, as in a forest of
     prefix trees; the rest keep their key until each has led. So a round makes at most a pair per member and bucket, however
-    large or loose the bucket is, and no pair is compared twice. A pair that shares large loose buckets alone, and neither of
-    which leads, may be passed over: the tests measure how many groups that leaves apart.
+    large or loose the bucket is, and no pair is compared twice. Pairs of large loose buckets that the deals part before either
+    leads are found at last by _rest_pairs, so every link of a bucket joins its ends.
     """
     active = members.withColumn("depth", F.lit(1)).withColumn("label", F.col("node"))
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
@@ -180,6 +220,19 @@ def _forest_links(members: DataFrame, bands: DataFrame, sets: DataFrame, thresho
         round_ += 1
     found = cut(reduce(DataFrame.unionByName, links))
     discard(active)
+    # Buckets that may have been dealt, and are still of several groups.
+    large = members.filter(F.col("n") - 1 > SMALL)
+    if not large.limit(1).count():
+        return found
+    labels = components(found)
+    large = large.select("node", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = large.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    left = stored(large.join(mixed.select("key"), "key", "left_semi").select("node", "label").distinct(), "left")
+    if left.limit(1).count():
+        pairs = stored(_rest_pairs(left, sets, threshold, counted).join(seen, ["a", "b"], "left_anti"), "rest")
+        found = found.unionByName(cut(_links(pairs, sets, threshold, counted).filter("linked").select("a", "b")))
+        discard(pairs)
+    discard(left)
     return found
 
 
@@ -196,7 +249,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str
     their own text. Very long texts are hashed whole, one at a time. Ties go to the least doc_id. Extra columns are ignored.
 
     Copies are one class before anything else. Classes are compared along the forest of _forest_links, linear in the buckets'
-    members in each of its rounds; members of a group found are not compared again. n_links counts the links so verified.
+    members in each of its rounds; members of a group found are not compared again. What large buckets then hold of different groups
+    is compared by its rarest shingles, so two texts that are linked and share a bucket are of one group. n_links counts the links so verified.
     """
     if weights not in ("sets", "counts"):
         raise ValueError(f"weights: {weights}")

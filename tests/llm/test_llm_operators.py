@@ -125,6 +125,22 @@ def test_loose_groups_take_few_comparisons_and_lose_few_links(spark, monkeypatch
     assert figures[1][0] < 2.6 * figures[0][0] and all(f[1] >= 0.9 for f in figures), figures
 
 
+@pytest.mark.parametrize("weights", ["sets", "counts"])
+def test_no_link_of_a_large_loose_bucket_is_lost(spark, weights):
+    """Every member shares one bucket and no other, so the first deal parts all but leaders: 40 near pairs, most of them of two others."""
+    docs = loose_group(400)
+    found = list(each_text(pa.array([t for _, t in docs])))
+    made = {d: neardup.weighted_shingles(h) for (d, _), (_, h, _, _) in zip(docs, found, strict=True)}
+    counts = {d: n if weights == "counts" else np.ones(len(e), np.int64) for d, (e, n) in made.items()}
+    sets = spark.createDataFrame([(d, e.tobytes(), counts[d].astype(np.int32).tobytes()) for d, (e, _) in made.items()], "node long, shingles binary, counts binary")
+    members = spark.createDataFrame([(d, 0, 1, len(docs)) for d in made], "node long, band int, key long, n long")
+    bands = spark.createDataFrame([(d, [1, *[d * 100 + k for k in range(1, neardup.BANDS)]]) for d in made], "node long, bands array<long>")
+    links = neardup._forest_links(members, bands, sets, 0.8, weights == "counts")
+    got = {r["node"]: r["label"] for r in components.components(links).collect()}
+    want = [(a, b) for a in made for b in made if a < b and neardup.probability_jaccard(made[a][0], counts[a], made[b][0], counts[b]) >= 0.8]
+    assert len(want) >= 30 and all(got.get(a, a) == got.get(b, b) for a, b in want)
+
+
 def groups_of(label):
     by = collections.defaultdict(list)
     for d, c in label.items():
