@@ -53,6 +53,30 @@ class Recursion:
         return out, state
 
 
+    def run_rows(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """run() for the rows of a matrix, each with its own state: a step goes over all of them."""
+        out = np.empty(x.shape)
+        for t in range(x.shape[1]):
+            out[:, t] = state @ self.leave + self.direct * x[:, t]
+            state = state @ self.move.T + x[:, t, None] * self.enter
+        return out, state
+
+    def run_each(self, blocks: list[np.ndarray], states: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """run() for each block; short ones of one length together."""
+        states = [np.zeros(len(self.enter))] * len(blocks) if states is None else states
+        out, after, alike = [None] * len(blocks), [None] * len(blocks), {}
+        for k, y in enumerate(blocks):
+            if len(y) > STRETCH:
+                out[k], after[k] = self.run(y, states[k])
+            else:
+                alike.setdefault(len(y), []).append(k)
+        for ks in alike.values():
+            rows, left = self.run_rows(np.stack([np.asarray(blocks[k], float) for k in ks]), np.stack([states[k] for k in ks]))
+            for k, y, s in zip(ks, rows, left, strict=True):
+                out[k], after[k] = y, s
+        return out, after
+
+
 def band_sections(low: float, high: float, order: int = 6) -> list[tuple[float, float, float]]:
     """Butterworth band-pass as sections (gain, a1, a2): gain (1 - z^-2) / (1 + a1 z^-1 + a2 z^-2). Edges are shares of half the
     sampling rate. Designed from the analog prototype; each section is scaled to 1 in mid-band."""

@@ -167,24 +167,32 @@ def recursive_filter(blocks: DataFrame, key: str, recursion: Recursion) -> DataF
 
     def summarise(parts):
         for pdf in parts:
-            last = [recursion.run(y)[1] for y in pdf["y"]]
-            yield pd.DataFrame({key: pdf[key], "start": pdf["start"], "len": [len(y) for y in pdf["y"]], "state": last})
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        entry, at = [], np.zeros(size)
-        maps = {n: recursion.over(int(n)) for n in pdf["len"].unique()}
-        for n, own in zip(pdf["len"], pdf["state"], strict=True):
-            entry.append(at)
-            at = maps[n] @ at + own
-        return pd.DataFrame({key: pdf[key], "start": pdf["start"], "len": pdf["len"], "state": entry})
+            yield pd.DataFrame({key: pdf[key], "start": pdf["start"], "len": [len(y) for y in pdf["y"]], "state": recursion.run_each(list(pdf["y"]))[1]})
+
+    def compose(parts):
+        maps = {}
+        for pdf in parts:
+            entries = []
+            for lens, states in zip(pdf["len"], pdf["state"], strict=True):
+                entry, at = np.empty((len(lens), size)), np.zeros(size)
+                for k, (n, own) in enumerate(zip(lens.tolist(), states.reshape(-1, size), strict=True)):
+                    entry[k] = at
+                    if n not in maps:
+                        maps[n] = recursion.over(n)
+                    at = maps[n] @ at + own
+                entries.append(entry.ravel())
+            yield pdf.assign(state=entries)
 
     def apply(parts):
         for pdf in parts:
-            yield pdf.assign(y=[recursion.run(y, entry)[0] for y, entry in zip(pdf["y"], pdf["state"], strict=True)]).drop(columns="state")
+            yield pdf.assign(y=recursion.run_each(list(pdf["y"]), list(pdf["state"]))[0]).drop(columns="state")
 
     blocks = blocks.select(key, "sr", "n", "start", "y")
-    entries = blocks.select(key, "start", "y").mapInPandas(summarise, state).groupBy(key).applyInPandas(compose, state).select(key, "start", "state")
+    # A row for each recording: a batch of them is composed in one call, where a call for each costs more than its sums.
+    held = blocks.select(key, "start", "y").mapInPandas(summarise, state).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "len", "state"))).alias("_s"))
+    lists = held.select(key, F.col("_s.start").alias("start"), F.col("_s.len").alias("len"), F.flatten("_s.state").alias("state"))
+    composed = lists.mapInPandas(compose, f"`{key}` {kind}, start array<long>, len array<long>, state array<double>")
+    entries = composed.select(key, F.posexplode("start").alias("_k", "start"), "state").select(key, "start", F.slice("state", F.col("_k") * size + 1, size).alias("state"))
     return blocks.join(entries, [key, "start"]).select(key, "sr", "n", "start", "y", "state").mapInPandas(apply, f"`{key}` {kind}, sr int, n long, start long, y array<double>")
 
 
@@ -192,7 +200,7 @@ def zero_crossings(blocks: DataFrame, key: str) -> DataFrame:
     """(key, i): samples whose sign differs from that of the one before, across blocks too. Zero counts as positive."""
     sign = F.transform("y", lambda v: v < 0)
     turns = F.filter(F.sequence(F.lit(1), F.size("_s") - 1), lambda k: F.get("_s", k) != F.get("_s", k - 1))
-    signed = blocks.select(key, "start", sign.alias("_s"))
+    signed = kept(blocks.select(key, "start", sign.alias("_s")))
     within = signed.filter(F.size("_s") > 1).select(key, F.explode(F.transform(turns, lambda k: F.col("start") + k)).alias("i"))
     ends = signed.select(key, F.col("start").alias("i"), F.get("_s", F.lit(0)).alias("_first"), (F.col("start") + F.size("_s")).alias("_next"), F.element_at("_s", -1).alias("_last"))
     between = ends.join(ends.select(key, F.col("_next").alias("i"), F.col("_last").alias("_before")), [key, "i"]).filter("_first <> _before").select(key, "i")
