@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.operators.metrics import roc_auc
 
 
-def _margin(heads: list[str], weights: list[Column]) -> Column:
+def margin_of(heads: list[str], weights: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(h) * w for h, w in zip(heads, weights[1:], strict=True)], weights[0])
 
 
@@ -47,7 +47,7 @@ def fit_folds(rows: DataFrame, heads: list[str], folds: int, c: float, model: st
     for _ in range(rounds):
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(float(b)) for b in at[k]]).alias("b"), F.lit(float(weight[k, 0])).alias("w0"), F.lit(float(weight[k, 1])).alias("w1")) for k in range(folds + 1)])).alias("m")
         loss, slope, bend = _losses(F.col("z"), F.col("_y"), model)
-        rated = rows.select("_fold", "_y", *heads, each).filter("m.k != _fold").withColumn("z", _margin(heads, [F.get("m.b", i) for i in range(d)]))
+        rated = rows.select("_fold", "_y", *heads, each).filter("m.k != _fold").withColumn("z", margin_of(heads, [F.get("m.b", i) for i in range(d)]))
         w = F.when(F.col("_y") > 0, F.col("m.w1")).otherwise(F.col("m.w0"))
         rated = rated.select(F.col("m.k").alias("k"), *heads, (loss * w).alias("l"), (slope * w).alias("g"), (bend * w).alias("h"))
         sums = [F.sum("l").alias("l"), *[F.sum(F.col("g") * xs[i]).alias(f"g{i}") for i in range(d)], *[F.sum(F.col("h") * xs[i] * xs[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i + 1)]]
@@ -88,7 +88,7 @@ def cross_validate(scores: DataFrame, heads: list[str], label: str, key: str, fo
     out = None
     for k in range(folds + 1):
         part = rows.filter(F.col("_fold") == k) if k < folds else rows
-        rated = part.withColumn("z", _margin(named, [F.lit(float(b)) for b in weights[k]]))
+        rated = part.withColumn("z", margin_of(named, [F.lit(float(b)) for b in weights[k]]))
         hit, said, is_one = F.col("z") > 0, (F.col("z") > 0).cast("long"), F.col("_y").cast("long")
         counts = rated.agg(F.count(F.lit(1)).alias("n"), F.avg((hit == (F.col("_y") > 0)).cast("double")).alias("accuracy"), F.coalesce(F.try_divide(2.0 * F.sum(said * is_one), F.sum(said + is_one)), F.lit(0.0)).alias("f1"))
         row = counts.join(roc_auc(rated, "_y", "z"), F.lit(True)).select(  # a row each
