@@ -146,6 +146,8 @@ def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
     folder = f"{base.rstrip('/')}/wav-{uuid.uuid4().hex}"
     clips = waves(spark, sf_dir).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.lit(SR).alias("sr"), A.peak_normalize(F.col("y")).alias("y"))
+    # A file is some work whatever its length, and the table may come in few parts.
+    clips = clips.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
     clips.write.format("wav").mode("append").save(folder)
     back = spark.read.format("wav").option("blockSamples", 16).load(folder)
     total = F.aggregate("y", F.lit(0).cast("long"), lambda acc, v: acc + F.round(v * 32768).cast("long"))

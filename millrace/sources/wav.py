@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 SCHEMA = "path string, sr int, n long, start long, y array<float>, status string"
 ARROW = pa.schema([("path", pa.string()), ("sr", pa.int32()), ("n", pa.int64()), ("start", pa.int64()), ("y", pa.list_(pa.float32())), ("status", pa.string())])
+#: What a file counts for beside its bytes, as a share of a partition: no task opens more than 512.
+OPEN = 1 / 512
 #: PCM, and the extensible form that names it in a sub-format.
 PCM, EXTENSIBLE = 1, 0xFFFE
 
@@ -110,7 +112,8 @@ class WavReader(DataSourceReader):
         return all(path == f.value if isinstance(f, EqualTo) else path in f.value if isinstance(f, In) else path.startswith(f.value) if isinstance(f, StringStartsWith) else path.endswith(f.value) for f in self.tests)
 
     def partitions(self) -> list[Ranges]:
-        """Long files are cut into ranges, short ones share a partition; only names and sizes are listed here."""
+        """Long files are cut into ranges, short ones share a partition, where each also counts for OPEN of it, as opening takes
+        its time; only names and sizes are listed here."""
         from pyarrow import fs
 
         store, base = filesystem(self.root)
@@ -122,16 +125,34 @@ class WavReader(DataSourceReader):
         for f in sorted((f for f in files if f.type == fs.FileType.File and f.path.lower().endswith(".wav") and self._wanted(f.path)), key=lambda f: f.path):
             for a in range(0, max(1, f.size), self.bytes):
                 z = min(f.size, a + self.bytes)
-                if not out or room < z - a:
+                taken = z - a + int(self.bytes * OPEN)
+                if not out or room < taken:
                     out.append([])
                     room = self.bytes
                 out[-1].append((f.path, f.size, a, z))
-                room -= z - a
+                room -= taken
         return [Ranges(r) for r in out] or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        """Blocks of short files go out together, as many as one of 65,536 samples holds."""
+        held, size = [], 0
+        for r in self._blocks(partition):
+            held.append(r)
+            size += len(r["y"]) if r["y"] is not None else 0
+            if size >= 1 << 16 or len(held) >= 1024:
+                yield pa.RecordBatch.from_pylist(held, ARROW) if len(held) > 1 else self._one(held[0])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, ARROW)
+
+    def _one(self, r: dict) -> pa.RecordBatch:
+        """A block without its samples as Python numbers."""
+        y = pa.ListArray.from_arrays(pa.array([0, len(r["y"])], pa.int32()), pa.array(r["y"]))
+        return pa.RecordBatch.from_arrays([y if c.name == "y" else pa.array([r[c.name]], c.type) for c in ARROW], schema=ARROW)
+
+    def _blocks(self, partition: Ranges) -> Iterator[dict]:
         store, _ = filesystem(self.root)
-        row = lambda *v: pa.RecordBatch.from_pylist([dict(zip(ARROW.names, v, strict=True))], ARROW)
+        row = lambda *v: dict(zip(ARROW.names, v, strict=True))
         for path, size, a, z in partition.ranges:
             try:
                 with store.open_input_file(path) as file:
@@ -143,7 +164,7 @@ class WavReader(DataSourceReader):
                         n = min(self.block, last - i)
                         file.seek(h.data + i * frame)
                         y = mono(file.read(n * frame), h.width, h.channels).astype(np.float32)
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([h.sr], pa.int32()), pa.array([h.n]), pa.array([i]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(y)), pa.array(["ok"])], schema=ARROW)
+                        yield row(path, h.sr, h.n, i, y, "ok")
             except (OSError, ValueError) as error:
                 if a == 0:
                     yield row(path, None, None, None, None, f"err: {error}")
