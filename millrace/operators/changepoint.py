@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Squared distances held at once, and bits of a number that a pass over them settles.
@@ -36,6 +36,8 @@ def median_square(x: np.ndarray) -> float:
     n = len(x) * (len(x) - 1) // 2
     if not n:
         return 0.0
+    if n <= CHUNK:  # all of them may be held
+        return float(np.median(np.concatenate(list(squares(x)))))
     middle = {rank: (0, rank) for rank in ((n - 1) // 2, n // 2)}  # rank -> bits known so far, rank among those that begin with them
     for shift in range(64 - BITS, -1, -BITS):
         counts = {known: np.zeros(1 << BITS, np.int64) for known, _ in middle.values()}
@@ -152,17 +154,15 @@ def change_points(windows: DataFrame, key: str, idx: str, t: str, features: list
     """
     kind = dict(windows.dtypes)[key]
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        x = np.nan_to_num(standardize(pdf[features].to_numpy(float)))  # a feature without a mean tells nothing apart
+    def find(series: pa.Table) -> pa.Table:
+        order = np.argsort(series.column(idx).to_numpy(), kind="stable")
+        columns = np.stack([series.column(f).to_numpy().astype(float) for f in features], axis=1)
+        x = np.nan_to_num(standardize(columns[order]))  # a feature without a mean tells nothing apart
         size = max(2, min_size)
         ends = with_breaks(x, breaks, size) if breaks else penalised(x, penalty, size)
-        inner = [e for e in ends if 0 < e <= len(x) - 1]
-        out = pdf.iloc[[e - 1 for e in inner]]
-        return pd.DataFrame({key: out[key], "boundary_idx": np.array(inner, np.int64), "boundary_t": out[t].astype(float)})
+        inner = np.array([e for e in ends if 0 < e <= len(x) - 1], np.int64)
+        at = order[inner - 1]
+        return pa.Table.from_arrays([series.column(key).take(pa.array(at)), pa.array(inner), pa.array(series.column(t).to_numpy().astype(float)[at])], [key, "boundary_idx", "boundary_t"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = find(pdf)
-        return found if len(found) else found.astype({key: object})
-
-    return windows.select(key, idx, t, *features).groupBy(key).applyInPandas(run, f"{key} {kind}, boundary_idx long, boundary_t double")
+    # Arrow tables: for short series, making data frames would be most of the work.
+    return windows.select(key, idx, t, *features).groupBy(key).applyInArrow(find, f"`{key}` {kind}, boundary_idx long, boundary_t double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import changepoint, manifests, metrics, series
+from millrace.operators.frames import kept
 from millrace.operators.windows import sliding_windows, with_index
 
 
@@ -42,13 +43,18 @@ def splice_points(frames: DataFrame, key: str, t: str, features: list[str], win_
     paced = frames.join(series.frame_rate(frames, key, t), key)
     win, hop = series.frames_of(win_sec, F.col("fps")), series.frames_of(hop_sec, F.col("fps"))
     aggs = [F.max_by(t, "idx").alias("_t")]
-    for f in features:
-        aggs += [F.percentile(f, F.lit(0.5)).alias(f"{f}_a"), (F.percentile(f, F.lit(0.75)) - F.percentile(f, F.lit(0.25))).alias(f"{f}_b")] if robust else [F.avg(f).alias(f"{f}_a"), F.stddev_pop(f).alias(f"{f}_b")]
+    for f in features:  # one list of values for the three
+        aggs += [F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{f}")] if robust else [F.avg(f).alias(f"{f}_a"), F.stddev_pop(f).alias(f"{f}_b")]
     windows = sliding_windows(with_index(paced, key, [t]), key, win, hop).groupBy(key, "window_idx").agg(*aggs)
-    points = changepoint.change_points(windows, key, "window_idx", "_t", [f"{f}_{s}" for f in features for s in "ab"], penalty, min_size, breaks)
-    kept = series.merge_close(points, key, "boundary_t", gap_sec)
+    if robust:
+        spread = [c for f in features for c in (F.get(f"_q_{f}", F.lit(1)).alias(f"{f}_a"), (F.get(f"_q_{f}", F.lit(2)) - F.get(f"_q_{f}", F.lit(0))).alias(f"{f}_b"))]
+        windows = windows.select(key, "window_idx", "_t", *spread)
+    # Both are read more than once, and come from Python steps.
+    windows = kept(windows)
+    points = kept(changepoint.change_points(windows, key, "window_idx", "_t", [f"{f}_{s}" for f in features for s in "ab"], penalty, min_size, breaks))
+    merged = series.merge_close(points, key, "boundary_t", gap_sec)
     counts = windows.groupBy(key).agg(F.count(F.lit(1)).alias("n_windows"))
-    return counts.join(kept, key, "left").select(key, "n_windows", F.coalesce("kept", F.array().cast("array<double>")).alias("boundaries_sec"))
+    return counts.join(merged, key, "left").select(key, "n_windows", F.coalesce("kept", F.array().cast("array<double>")).alias("boundaries_sec"))
 
 
 def align(tracks: DataFrame, log: DataFrame, key: str, step: int = 1, max_lag_sec: int = 120, linear: bool = True) -> DataFrame:
