@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -47,11 +47,19 @@ def fourier_features(vector: Column, size: int, n: int = 128, gamma: float | Non
     return F.transform(rows, lambda p: F.sqrt(F.lit(2.0 / n)) * F.cos(dot(p) + p["b"]))
 
 
+def _fitted(estimator: Estimator, rows: DataFrame) -> Model:
+    """The fitted model without its training summary, which holds the session: once anything in that session was observed
+    (DataFrame.observe), a session cannot be serialized, and no task could score with a model that holds it."""
+    model = estimator.fit(rows)
+    model._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+    return model
+
+
 def train_logistic(train: DataFrame, features: str, label: str, c: float = 2.0, iterations: int = 200) -> PipelineModel:
     """Balanced logistic regression: the penalty 1 / (C * sum of weights) is that of a loss summed over rows."""
     weighted = train.join(F.broadcast(class_weights(train, label).select(label, "weight")), label)  # one row per class
     total = weighted.agg(F.sum("weight")).first()[0]
-    return Pipeline(stages=[LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1 / (c * total), maxIter=iterations, standardization=False)]).fit(weighted)
+    return PipelineModel([_fitted(LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1 / (c * total), maxIter=iterations, standardization=False), weighted)])
 
 
 def train_svm(train: DataFrame, features: str, label: str, c: float = 2.0, iterations: int = 100) -> PipelineModel:
@@ -60,7 +68,8 @@ def train_svm(train: DataFrame, features: str, label: str, c: float = 2.0, itera
     total = weighted.agg(F.sum("weight")).first()[0]
     svm = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", regParam=1 / (c * total), maxIter=iterations, rawPredictionCol="margin", predictionCol="svm_prediction", standardization=False)
     platt = LogisticRegression(featuresCol="margin", labelCol=label, predictionCol="prediction", rawPredictionCol="rawPrediction", probabilityCol="probability")
-    return Pipeline(stages=[svm, platt]).fit(weighted)
+    machine = _fitted(svm, weighted)
+    return PipelineModel([machine, _fitted(platt, machine.transform(weighted))])
 
 
 def prepare(df: DataFrame, mean: np.ndarray, std: np.ndarray, kernel: bool = False, vector: str = "vector") -> DataFrame:

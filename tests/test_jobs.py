@@ -1,8 +1,11 @@
 """Composed jobs on small tables with known answers."""
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
-from millrace.operators import jobs
+from millrace.operators import jobs, learning
 
 SEGS = "array<struct<s:double,e:double>>"
 
@@ -56,3 +59,16 @@ def test_every_user_is_aligned_and_every_frame_transformed(spark):
     assert aligned.count() == users.count() and users.join(aligned, "user_id", "left_anti").isEmpty()
     frames = found["frame_signal"](spark, data).count()
     assert found["band_peak_track_frames"](spark, data).count() == frames and found["dft_magnitude_frames"](spark, data).count() == 9 * frames
+
+
+def test_models_score_in_a_session_that_observed(spark):
+    """A session whose observations were read cannot be serialized, so no model may hold it."""
+    seen = Observation()
+    rows = spark.createDataFrame([(i, float(i % 2), [float(i % 2) + i / 40, float(i % 3)]) for i in range(40)], "key long, label double, vector array<double>")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 40}
+    ready = rows.withColumn("features", array_to_vector("vector"))
+    for train in (learning.train_logistic, learning.train_svm):
+        out = learning.score(train(ready, "features", "label"), ready, ["fake", "real"]).select("label", "pred_label").collect()
+        assert np.mean([r["pred_label"] == ("real" if r["label"] else "fake") for r in out]) > 0.9
+    assert learning.search(ready, "features", "label", "key", trials=2)[1] > 0.7
