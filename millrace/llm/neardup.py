@@ -21,6 +21,8 @@ BANDS, ROWS = 26, 5
 SMALL = 8
 #: Nodes of one label and element that a row lists.
 BLOCK = 1024
+#: Ratio between classes of set sizes in _rest_pairs.
+SIZE_STEP = 1.05
 
 
 def weighted_shingles(hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -140,41 +142,49 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, counted: bool) -
 
 
 def _elements(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each element of a set with its share of the set's weight; of a few sets at a time."""
+    """A row for each element of a set with its share of the set's weight and the number of elements; of a few sets at a time."""
     for batch in batches:
         for node, label, elements, counts in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "shingles", "counts")), strict=True):
             e = np.frombuffer(elements, np.int64)
             w = np.frombuffer(counts, np.int32) if counted and counts else np.ones(len(e), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), node)), pa.array(np.full(len(e), label)), pa.array(e), pa.array(w / w.sum())], ["node", "label", "element", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), node)), pa.array(np.full(len(e), label)), pa.array(e), pa.array(w / w.sum()), pa.array(np.full(len(e), len(e)))], ["node", "label", "element", "share", "size"])
 
 
 def _rest_pairs(left: DataFrame, sets: DataFrame, threshold: float, counted: bool) -> DataFrame:
     """All pairs (a, b) of nodes ``left`` (node, label) of different labels that can reach ``threshold``: exact, without buckets.
 
-    The probability Jaccard of two sets is at most the sum over their elements of the lesser share of either's weight (for plain
-    sets: common elements over the larger size). With elements in one order for all, rarest first, a set begins with those from
-    which on ``threshold`` of its weight is left: of two sets that are alike enough, one that begins later has all common elements of the
-    other's beginning in its own, and what lies behind either beginning is too little. So they share an element of both beginnings.
-    Common elements come last, so a passage or frame of many texts makes no pairs. Members of one label are listed in blocks and not paired.
+    The probability Jaccard of two sets is at most the sum over their elements of the lesser share of either's weight. Elements have
+    one order for all: those of one label alone, which no pair has in common, come first, then the rarest. What two sets have in common lies
+    from their first common element on in both; so at that element either has ``threshold`` of its weight left. For plain sets of m and n
+    elements it is more: t / (1 + t) * (m + n) common elements are needed, so a set with r elements left can only meet one of at
+    most r * (1 + t) / t - m. Each element is therefore dealt by the classes of size (SIZE_STEP) that its set can still meet there, and
+    pairs meet where each is in reach of the other. A set in a loose group is mostly used up by what is its own before it comes to
+    what the group shares, so passages or frames of many texts make no pairs. Members of one label are listed in blocks and not paired.
     """
-    rows = left.join(sets, "node").mapInArrow(lambda x: _elements(x, counted), "node long, label long, element long, share double")
+    rows = left.join(sets, "node").mapInArrow(lambda x: _elements(x, counted), "node long, label long, element long, share double, size long")
     rows = stored(rows, "elements")
-    often = rows.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
-    before = Window.partitionBy("node").orderBy("often", "element").rowsBetween(Window.unboundedPreceding, -1)
-    begins = rows.join(often, "element").withColumn("_from", 1 - F.coalesce(F.sum("share").over(before), F.lit(0.0))).filter(F.col("_from") >= threshold - 1e-9)
-    begins = begins.filter("often > 1").select("element", "label", "node", "share")
-    numbered = begins.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("element", "label").orderBy("node")) - 1) / BLOCK))
-    blocks = stored(numbered.groupBy("element", "label", "_block").agg(F.collect_list(F.struct("node", "share")).alias("held")), "blocks")
-    several = blocks.groupBy("element").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    blocks = blocks.join(several.select("element"), "element", "left_semi").select("element", "label", "held")
-    both = blocks.join(blocks.select("element", F.col("label").alias("label_b"), F.col("held").alias("held_b")), "element").filter("label < label_b")
-    pairs = both.select(F.explode("held").alias("p"), "held_b").select("p", F.explode("held_b").alias("q"))
-    met = pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), (1 / F.col("p.share")).alias("m"), (1 / F.col("q.share")).alias("n"))
+    often = rows.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("element").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("often"))
+    before = Window.partitionBy("node").orderBy("alone", "often", "element").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = rows.join(often, "element").withColumn("alone", F.when(F.col("labels") == 1, 0).otherwise(1))
+    begins = ordered.withColumn("left", 1 - F.coalesce(F.sum("share").over(before), F.lit(0.0))).filter((F.col("left") >= threshold - 1e-9) & (F.col("labels") > 1))
+    needed = threshold / (1 + threshold)
     if counted:
-        return met.select("a", "b").distinct()
-    # Sizes alone, then: what is common is the common part of the beginnings and at most what lies behind one of them.
-    met = met.filter(F.least("m", "n") >= F.greatest("m", "n") * (threshold - 1e-9)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return met.filter(F.col("c") + threshold * F.greatest("m", "n") >= threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
+        dealt = begins.withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    else:
+        grade = lambda n: F.floor(F.log(n) / np.log(SIZE_STEP)).cast("int")
+        most = F.least(F.col("left") * F.col("size") / needed - F.col("size"), F.col("size") / threshold)
+        reach = F.sequence(grade(F.col("size") * (threshold - 1e-9)), grade(most + 1e-6 * F.col("size")))
+        dealt = begins.withColumn("own", grade(F.col("size"))).withColumn("other", F.explode(reach))
+    dealt = dealt.select("element", "own", "other", "label", F.struct("node", "size", "left").alias("p"))
+    numbered = dealt.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("element", "own", "other", "label").orderBy("p.node")) - 1) / BLOCK))
+    blocks = stored(numbered.groupBy("element", "own", "other", "label", "_block").agg(F.collect_list("p").alias("held")), "blocks")
+    facing = blocks.select(F.col("element"), F.col("other").alias("own"), F.col("own").alias("other"), F.col("label").alias("label_b"), F.col("held").alias("held_b"))
+    both = blocks.join(facing, ["element", "own", "other"]).filter("own < other AND label <> label_b OR own = other AND label < label_b")
+    pairs = both.select(F.explode("held").alias("p"), "held_b").select("p", F.explode("held_b").alias("q"))
+    if not counted:
+        fits = F.least(F.col("p.left") * F.col("p.size"), F.col("q.left") * F.col("q.size")) >= needed * (F.col("p.size") + F.col("q.size")) - 1e-6
+        pairs = pairs.filter(fits)
+    return pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
 def _forest_links(members: DataFrame, bands: DataFrame, sets: DataFrame, threshold: float, counted: bool) -> DataFrame:
@@ -250,7 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str
 
     Copies are one class before anything else. Classes are compared along the forest of _forest_links, linear in the buckets'
     members in each of its rounds; members of a group found are not compared again. What large buckets then hold of different groups
-    is compared by its rarest shingles, so two texts that are linked and share a bucket are of one group. n_links counts the links so verified.
+    is compared by its rarest shingles and sizes, so two texts that are linked and share a bucket are of one group. n_links counts the links so verified.
     """
     if weights not in ("sets", "counts"):
         raise ValueError(f"weights: {weights}")

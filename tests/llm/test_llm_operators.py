@@ -141,6 +141,54 @@ def test_no_link_of_a_large_loose_bucket_is_lost(spark, weights):
     assert len(want) >= 30 and all(got.get(a, a) == got.get(b, b) for a, b in want)
 
 
+def rest_of(spark, docs, threshold, monkeypatch):
+    """What _rest_pairs gives for texts of a label each, the pairs that are alike, and how many pairs of nodes its blocks bring together."""
+    found = list(each_text(pa.array([t for _, t in docs])))
+    made = {d: neardup.weighted_shingles(h)[0] for (d, _), (_, h, _, _) in zip(docs, found, strict=True)}
+    sets = spark.createDataFrame([(d, e.tobytes(), b"") for d, e in made.items()], "node long, shingles binary, counts binary")
+    kept, real = {}, neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    got = {(r["a"], r["b"]) for r in neardup._rest_pairs(sets.select("node", F.col("node").alias("label")), sets, threshold, False).collect()}
+    monkeypatch.undo()
+    held = collections.Counter()
+    for r in kept["blocks"].collect():
+        held[tuple(r.asDict().get(c) for c in ("element", "own", "other"))] += len(r["held"])
+    met = sum(n * held[e, other, own] for (e, own, other), n in held.items())
+    sure = {d: set(e.tolist()) for d, e in made.items()}
+    want = {(a, b) for a in sure for b in sure if a < b and len(sure[a] & sure[b]) >= threshold * len(sure[a] | sure[b])}
+    return got, want, met
+
+
+def test_rest_pairs_of_a_loose_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Texts about 0.55 alike, each with shingles of its own for 0.15 of it: less than the rest of a set may be, but more than two sets of one size may lack."""
+    met = []
+    for n in (100, 400):
+        docs = []
+        for d in range(n):
+            words = [f"own{d}x{i}" if i % 32 == d % 32 else f"b{i}" for i in range(100)]
+            docs.append((2 * d, " ".join(words)))
+            if d % 20 == 0:
+                docs.append((2 * d + 1, " ".join([*words[:90], f"end{d}"])))
+        got, want, made = rest_of(spark, docs, 0.8, monkeypatch)
+        assert len(want) >= n // 20 and want <= got
+        met.append(made)
+    assert met[1] < 8 * met[0], met
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_rest_pairs_miss_none(spark, monkeypatch, threshold):
+    rng = np.random.default_rng(7)
+    base, docs = [f"b{i}" for i in range(60)], []
+    for d in range(200):
+        words = list(base[int(rng.integers(0, 12)) : 60 - int(rng.integers(0, 12))])
+        for at in rng.integers(0, len(words), int(rng.integers(0, 3))):
+            words[at] = f"w{int(rng.integers(0, 30))}"
+        docs.append((d, " ".join(words)))
+    docs += [(500 + d, " ".join(f"s{d % 3}x{i}" for i in range(1 + d % 9))) for d in range(30)]
+    got, want, _ = rest_of(spark, docs, threshold, monkeypatch)
+    assert len(want) >= 10 and want <= got
+
+
 def groups_of(label):
     by = collections.defaultdict(list)
     for d, c in label.items():
